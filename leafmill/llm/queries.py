@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import encode, pack, spans, split
+from leafmill.llm import encode, markup, pack, repetition, spans, split, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": repetition.p2_found,
+    "p2_shares": repetition.p2_shares,
+    "p3_found": markup.p3_found,
+    "p3_clean": markup.p3_clean,
     "p4_found": split.p4_found,
     "p4_pieces": split.p4_pieces,
+    "p5_found": truncation.p5_found,
+    "p5_scores": truncation.p5_scores,
+    "p5_rates": truncation.p5_rates,
     "p6_ids": encode.p6_ids,
     "p6_roundtrip": encode.p6_roundtrip,
     "p7_packed": pack.p7_packed,
