@@ -1,6 +1,13 @@
-"""All queries of the library by name, with their SQL."""
+"""All queries of the library by name, with their SQL where it can say the same."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from leafmill.plans import catalog_queries, document_queries, plan_queries, relation_queries
+
+MODULES = (catalog_queries, document_queries, plan_queries, relation_queries)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}
