@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import encode, markup, pack, repetition, scans, spans, split, truncation
+from leafmill.llm import encode, markup, pack, paragraphs, repetition, scans, spans, split, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": scans.p1_found,
+    "p1_paragraphs": paragraphs.p1_paragraphs,
     "p2_found": repetition.p2_found,
     "p2_shares": repetition.p2_shares,
     "p3_found": markup.p3_found,
