@@ -5,23 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.operators.order import in_parts, running_sum
+
 PAGES_PER_CHUNK = 10
 
 
 def page_chunks(files: DataFrame, file: str, pages: str, order: Column, size: int = PAGES_PER_CHUNK) -> DataFrame:
     """(file, chunk_idx over all files, start_page, end_page). Files without pages have no chunk.
 
-    The running number needs one order over all files. Files are a small table beside their pages;
-    still, the sums are taken in two steps (within hashed groups of the order's ranks, then over
-    the groups), so no window holds more than a group.
+    The running number needs one order over all files; it is summed up in parts (see ``order``).
     """
     counted = files.filter(F.col(pages) > 0).select(file, F.col(pages).cast("bigint").alias("pages"), F.ceil(F.col(pages) / F.lit(size)).cast("bigint").alias("n"), order.alias("__ord"))
-    ranged = counted.repartitionByRange("__ord", file).withColumn("__part", F.spark_partition_id())
-    before_part = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = ranged.groupBy("__part").agg(F.sum("n").alias("__n")).withColumn("__base", F.coalesce(F.sum("__n").over(before_part), F.lit(0))).select("__part", "__base")
-    inner = Window.partitionBy("__part").orderBy("__ord", file).rowsBetween(Window.unboundedPreceding, -1)
-    based = ranged.withColumn("__inner", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(F.broadcast(parts), "__part")  # one row a partition
-    return based.select(file, "pages", (F.col("__base") + F.col("__inner")).alias("first"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("k")).select(
+    based = running_sum(in_parts(counted, ["__ord", file]), ["__ord", file], "n", "first", inclusive=False)
+    return based.select(file, "pages", "first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("k")).select(
         file,
         (F.col("first") + F.col("k") + 1).alias("chunk_idx"),
         (F.col("k") * size + 1).alias("start_page"),

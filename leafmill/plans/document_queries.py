@@ -9,6 +9,7 @@ from leafmill.functions import rules as R
 from leafmill.functions import text as X
 from leafmill.operators import html as H
 from leafmill.operators import lines as L
+from leafmill.operators.order import in_parts, running_sum, value_before
 from leafmill.sources.tables import read_table
 
 QUERIES, ORACLES = {}, {}
@@ -67,22 +68,11 @@ def integer_islands(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH e AS (SELECT user_id, event_id, lag(user_id) OVER (ORDER BY event_id) AS p FROM events), g AS (SELECT *, sum(CASE WHEN user_id - p = 1 THEN 0 ELSE 1 END) OVER (ORDER BY event_id) AS g FROM e)
     SELECT min(user_id) AS first, max(user_id) AS last, count(*) AS n, min(event_id) AS at FROM g GROUP BY g""")
 def event_islands(spark: SparkSession, d: str) -> DataFrame:
-    """W2 over a table: the break flag needs the row before in one global order.
-
-    Rows are ranged by the order, windows stay within a range, and each range begins with the last
-    row of the one before, which a table of one row a range provides.
-    """
-    from pyspark.sql import Window
-
-    x = read_table(spark, d, "events").select("event_id", "user_id").repartitionByRange("event_id").withColumn("part", F.spark_partition_id())
-    parts = x.groupBy("part").agg(F.max_by("user_id", "event_id").alias("tail"))
-    parts = parts.select((F.lead("part").over(Window.orderBy("part"))).alias("part"), "tail").filter("part IS NOT NULL")
-    inner = Window.partitionBy("part").orderBy("event_id")
-    before = F.coalesce(F.lag("user_id").over(inner), F.col("tail"))
-    flagged = x.join(F.broadcast(parts), "part", "left").withColumn("starts", F.coalesce((F.col("user_id") - before != 1).cast("int"), F.lit(1)))
-    flagged = flagged.withColumn("inner_no", F.sum("starts").over(inner))
-    base = flagged.groupBy("part").agg(F.sum("starts").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "base")
-    numbered = flagged.join(F.broadcast(base), "part").withColumn("g", F.col("base") + F.col("inner_no"))
+    """W2 over a table in one global order, in parts (see ``order``)."""
+    order = ["event_id"]
+    parted = value_before(in_parts(read_table(spark, d, "events").select("event_id", "user_id"), order), order, "user_id", "before")
+    flagged = parted.withColumn("starts", F.coalesce((F.col("user_id") - F.col("before") != 1).cast("bigint"), F.lit(1).cast("bigint")))
+    numbered = running_sum(flagged, order, "starts", "g")
     return numbered.groupBy("g").agg(F.min("user_id").alias("first"), F.max("user_id").alias("last"), F.count(F.lit(1)).alias("n"), F.min("event_id").alias("at")).drop("g")
 
 
