@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import base64
 import os
-import tempfile
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from leafmill.sources.scratch import cut_lineage, ensure_checkpoint_dir  # noqa: F401
+
 TOKENIZER_DIR = "/opt/tokenizers"
 
 # Fixed value: the public pattern that splits text before byte pairs are merged.
@@ -20,20 +21,6 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the folder the cluster names; sets a local one only where none is set (tests)."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="leafmill-checkpoint-"))
-
-
-def cut_lineage(frame: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder; survives the loss of executors."""
-    ensure_checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
-
-
 @lru_cache(maxsize=4)
 def byte_bpe(directory: str, name: str = "byte_bpe_50k"):
     """The tiktoken encoding of a local rank file; one per Python worker."""
