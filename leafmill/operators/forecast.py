@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-SCHEMA = T._parse_datatype_string(
+SCHEMA = (
     "list array<struct<dt_txt:string,weather:array<struct<description:string>>,main:struct<temp_min:double,temp_max:double,humidity:double>,"
     "wind:struct<speed:double>,rain:struct<`3h`:double>,snow:struct<`3h`:double>>>"
 )
