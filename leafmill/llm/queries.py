@@ -29,6 +29,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "p2_found": r"""
+        WITH w AS (SELECT reply_id, regexp_extract_all(lower(any_value(markdown_text)), '\p{L}+') AS ws FROM transcriptions GROUP BY reply_id),
+        g AS (SELECT reply_id, len(ws) AS n, ws, unnest(range(1, len(ws) - 2)) AS i FROM w WHERE len(ws) >= 4),
+        h AS (SELECT reply_id, n, i, list_aggregate(ws[i : i + 3], 'string_agg', ' ') AS gram FROM g),
+        r AS (SELECT reply_id, n, i FROM (SELECT *, min(i) OVER (PARTITION BY reply_id, gram) AS f FROM h) WHERE i > f),
+        c AS (SELECT DISTINCT reply_id, n, i + k AS p FROM (SELECT *, unnest([0, 1, 2, 3]) AS k FROM r))
+        SELECT reply_id FROM c GROUP BY reply_id, n HAVING count(*) >= 0.4 * n
+    """,
     "p4_found": """
         WITH lines AS (SELECT doc_id, line_no, coalesce(any_value(line), '') AS line FROM html_lines GROUP BY doc_id, line_no),
         plans AS (SELECT DISTINCT plan_id, doc_id, output_range[1] AS lo, output_range[2] AS hi FROM chunk_plan WHERE len(output_range) = 2)
