@@ -29,6 +29,7 @@ DIMENSIONS = 1 << 16
 THRESHOLD = 0.5
 CUTS = 4
 FOLDS = 5
+BATCH = 192
 ROUNDS = 2
 
 LETTERS = r"[\p{L}\p{M}]+"
@@ -144,7 +145,7 @@ def train(rows: list[list[int]], labels: np.ndarray, epochs: int = 12, rate: flo
     offset = np.cumsum(lengths) - lengths
     for _ in range(epochs):
         order = draw.permutation(len(rows))
-        for batch in np.array_split(order, max(1, len(order) // 64)):
+        for batch in np.array_split(order, max(1, len(order) // BATCH)):
             if not len(batch):
                 continue
             ids = np.concatenate([flat[offset[i] : offset[i] + lengths[i]] for i in batch])
@@ -258,7 +259,7 @@ def score(everything: DataFrame, evidence: Evidence, model: Model) -> DataFrame:
 
 
 def p5_scores(spark: SparkSession, directory: str) -> DataFrame:
-    everything = records(spark, directory)
+    everything = cut_lineage(records(spark, directory))  # read five times: the repeats are dropped once
     evidence = Evidence(everything)
     return score(everything, evidence, fit(everything, evidence))
 
