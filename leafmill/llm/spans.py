@@ -11,8 +11,9 @@ exact comparison of the characters around them follows.
 Digests are counted with partial aggregation. Of a digest in few places, the places' contexts
 are compared pair by pair. A digest in many places (a boilerplate, periodic text) is never
 expanded into pairs: its places list the digests of all 200-character windows around the chunk,
-and only equal windows, which are true cases, meet; windows with the same set of documents are
-joined once. Texts that occur in more than one document meet in the same way.
+and only equal windows, which are true cases, meet. For the pairs, windows with the same set of
+documents are joined once; for the shares, every place of every window that is in more than one
+document counts, merged to ranges for each document without any pairs.
 
 Defined results: null, empty and short texts have no case; a repeated row of a document is the
 same document; spans within one document alone do not count.
@@ -134,19 +135,21 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text", many: int = MANY) -> DataFrame:
-    """(doc_id_a, doc_id_b, at_a, at_b, size): common spans that are a case, or parts of longer ones.
-
-    Each pair of documents with a case has at least one row; the rows of a document together
-    cover every character that it shares in a span of SPAN characters or more.
-    """
+def _chunk_places(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(doc, text) of the documents that can have a case; the places of all chunks that are in more than one."""
     places = postings(documents, key, text)
     counted = places.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("n"))
     repeated = cut_lineage(places.join(counted.filter("least < most").select("digest", "n"), "digest"))
     texts = documents.select(F.col(f"`{key}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text")).filter(F.length("text") >= SPAN)
+    return texts, repeated
+
 
-    def with_text(chosen: DataFrame) -> DataFrame:
-        return texts.join(chosen.distinct().groupBy("doc").agg(F.collect_list(F.struct("digest", "low", "high")).alias("own")), "doc")
+def _with_text(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    return texts.join(chosen.distinct().groupBy("doc").agg(F.collect_list(F.struct("digest", "low", "high")).alias("own")), "doc")
+
+
+def _near_spans(frame: DataFrame) -> DataFrame:
+    """Spans of every pair of places of the chunks that are in few places."""
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,22 +165,50 @@ def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text",
                 names=["digest", "doc", "low", "left", "chunk", "right"],
             )
 
-    near = (
-        with_text(repeated.filter(F.col("n") <= many))
-        .select("doc", "own", "text")
+    return (
+        frame.select("doc", "own", "text")
         .mapInArrow(contexts, "digest bigint, doc bigint, low int, left string, chunk string, right string")
         .groupBy("digest")
         .agg(F.collect_list(F.struct("doc", "low", "left", "chunk", "right")).alias("places"))  # at most ``many`` places
         .select("places")
         .mapInArrow(_compare, "doc_id_a bigint, doc_id_b bigint, at_a int, at_b int, size int")
     )
+
+
+def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text", many: int = MANY) -> DataFrame:
+    """(doc_id_a, doc_id_b, at_a, at_b, size): common spans that are a case, or parts of longer ones.
+
+    Each pair of documents with a case has at least one row. Of texts in many places the rows name
+    one window for each set of documents; what they cover in full is in ``shared_ranges``.
+    """
+    texts, repeated = _chunk_places(documents, key, text)
+    near = _near_spans(_with_text(texts, repeated.filter(F.col("n") <= many)))
     if repeated.filter(F.col("n") > many).isEmpty():
         return near
-    return near.unionByName(_window_spans(with_text(repeated.filter(F.col("n") > many))))
+    return near.unionByName(_window_spans(_with_text(texts, repeated.filter(F.col("n") > many))))
 
 
-def _window_spans(frame: DataFrame) -> DataFrame:
-    """Spans found by equal windows of exactly SPAN characters around chunks that are in many places."""
+def shared_ranges(documents: DataFrame, key: str = "doc_id", text: str = "text", many: int = MANY) -> DataFrame:
+    """(doc, low, high): ranges of each document, which may overlap.
+
+    Together they cover exactly the characters that stand in a span of SPAN or more characters that
+    another document has too.
+    """
+    texts, repeated = _chunk_places(documents, key, text)
+    spans = cut_lineage(_near_spans(_with_text(texts, repeated.filter(F.col("n") <= many))))
+    near = spans.select(F.col("doc_id_a").alias("doc"), F.col("at_a").alias("low"), (F.col("at_a") + F.col("size")).alias("high")).unionByName(
+        spans.select(F.col("doc_id_b").alias("doc"), F.col("at_b").alias("low"), (F.col("at_b") + F.col("size")).alias("high"))
+    )
+    if repeated.filter(F.col("n") > many).isEmpty():
+        return near.distinct()
+    return near.distinct().unionByName(_window_ranges(_with_text(texts, repeated.filter(F.col("n") > many))))
+
+
+def _windows(frame: DataFrame, every: bool) -> DataFrame:
+    """(key, doc, low): the windows of exactly SPAN characters around chunks that are in many places.
+
+    ``every``: all places of a window in a document, else its first one.
+    """
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
@@ -185,18 +216,27 @@ def _window_spans(frame: DataFrame) -> DataFrame:
             keys, docs, lows = [], [], []
             for doc, own, body in zip(batch.column("doc").to_pylist(), batch.column("own").to_pylist(), batch.column("text").to_pylist()):
                 raw = memoryview(body.encode("utf-32-le", "surrogatepass"))
-                seen: dict[bytes, int] = {}
+                seen: set[bytes] = set()
                 done = -1
                 for p in sorted(own, key=lambda p: p["low"]):
                     for at in range(max(done + 1, p["high"] - SPAN, 0), min(p["low"], len(body) - SPAN) + 1):
-                        seen.setdefault(digest(raw[4 * at : 4 * (at + SPAN)]), at)
                         done = at
-                keys += seen.keys()
-                lows += seen.values()
-                docs += [doc] * len(seen)
+                        window = digest(raw[4 * at : 4 * (at + SPAN)])
+                        if not every:
+                            if window in seen:
+                                continue
+                            seen.add(window)
+                        keys.append(window)
+                        docs.append(doc)
+                        lows.append(at)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(docs, pa.int64()), pa.array(lows, pa.int32())], names=["key", "doc", "low"])
 
-    listed = cut_lineage(frame.select("doc", "own", "text").mapInArrow(windows, "key binary, doc bigint, low int"))
+    return cut_lineage(frame.select("doc", "own", "text").mapInArrow(windows, "key binary, doc bigint, low int"))
+
+
+def _window_spans(frame: DataFrame) -> DataFrame:
+    """Spans found by equal windows: enough of them for every pair, not for every character."""
+    listed = _windows(frame, False)
     sets = listed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("xor")).filter("n > 1")
     chosen = listed.join(sets.groupBy("n", "sum", "xor").agg(F.min("key").alias("key")).select("key"), "key")
     other = chosen.select("key", F.col("doc").alias("doc_id_b"), F.col("low").alias("at_b"))
@@ -207,18 +247,40 @@ def _window_spans(frame: DataFrame) -> DataFrame:
     )
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, low, high) of rows (doc, low) in order: windows that touch or overlap are one range."""
+    doc, low, high = None, 0, 0
+    names, kinds = ["doc", "low", "high"], (pa.int64(), pa.int32(), pa.int32())
+    for batch in batches:
+        out: list[tuple[int, int, int]] = []
+        for d, at in zip(batch.column("doc").to_pylist(), batch.column("low").to_pylist()):
+            if d == doc and at <= high:
+                high = at + SPAN
+                continue
+            if doc is not None:
+                out.append((doc, low, high))
+            doc, low, high = d, at, at + SPAN
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 3, kinds)], names=names)
+    if doc is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((doc, low, high), kinds)], names=names)
+
+
+def _window_ranges(frame: DataFrame) -> DataFrame:
+    """(doc, low, high) covered by all windows that are in more than one document; no pairs are made."""
+    listed = _windows(frame, True)
+    shared = listed.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("key")
+    kept = listed.join(shared, "key").select("doc", "low")
+    return kept.repartition("doc").sortWithinPartitions("doc", "low").mapInArrow(_merged, "doc bigint, low int, high int")
+
+
 def p8_found(spark: SparkSession, directory: str) -> DataFrame:
     """Pairs of documents with a common span of SPAN or more characters."""
     return shared_spans(table(spark, directory, "documents")).select("doc_id_a", "doc_id_b").distinct()
 
 
-def p8_shares(spark: SparkSession, directory: str) -> DataFrame:
-    """Each document's number of characters that stand in such a span elsewhere too, and their share."""
-    documents = table(spark, directory, "documents")
-    spans = cut_lineage(shared_spans(documents))
-    ends = spans.select(F.col("doc_id_a").alias("doc_id"), F.col("at_a").alias("low"), (F.col("at_a") + F.col("size")).alias("high")).unionByName(
-        spans.select(F.col("doc_id_b").alias("doc_id"), F.col("at_b").alias("low"), (F.col("at_b") + F.col("size")).alias("high"))
-    )
+def shared_chars(documents: DataFrame, many: int = MANY) -> DataFrame:
+    """(doc_id, n_chars, shared_chars, share) of every document."""
+    ranges = shared_ranges(documents, many=many).withColumnRenamed("doc", "doc_id")
     step = F.aggregate(
         "own",
         F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("end")),
@@ -227,10 +289,15 @@ def p8_shares(spark: SparkSession, directory: str) -> DataFrame:
         ),
         lambda acc: acc["sum"],
     )
-    covered = ends.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("own")).select("doc_id", step.alias("shared_chars"))
+    covered = ranges.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("own")).select("doc_id", step.alias("shared_chars"))
     return documents.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars")).distinct().join(covered, "doc_id", "left").select(
         "doc_id",
         "n_chars",
         F.coalesce("shared_chars", F.lit(0)).cast("bigint").alias("shared_chars"),
         F.when(F.col("n_chars") > 0, F.coalesce("shared_chars", F.lit(0)) / F.col("n_chars")).otherwise(0.0).alias("share"),
     )
+
+
+def p8_shares(spark: SparkSession, directory: str) -> DataFrame:
+    """Each document's number of characters that stand in such a span elsewhere too, and their share."""
+    return shared_chars(table(spark, directory, "documents"))

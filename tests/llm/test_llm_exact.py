@@ -123,3 +123,25 @@ def test_spans_of_copies_and_none(spark):
     frame = spark.createDataFrame([(1, t), (2, t), (2, t), (3, "short")], "doc_id bigint, text string").withColumn("doc", F.lit("x")).withColumn("digest", F.lit(0))
     assert {(r[0], r[1]) for r in spans.shared_spans(frame).select("doc_id_a", "doc_id_b").distinct().collect()} == {(1, 2)}
     assert spans.shared_spans(frame.limit(0)).count() == 0
+
+
+def test_shares_against_brute_force(spark):
+    draw = random.Random(8)
+    text = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    plate, one, two = text(1000), text(260), text(300)
+    texts = {i: text(draw.randint(0, 80)) + plate + text(draw.randint(0, 80)) for i in range(20)}  # 1,000 characters in 20 documents
+    texts |= {30 + i: one + text(30 + i) + two for i in range(20)}  # two passages with the same set of documents
+    texts |= {60: two + text(50) + two, 61: one + one, 62: "yes " * 90, 63: "no " + "yes " * 70, 64: text(900), 65: "", 66: plate[100:299], 67: plate[100:300]}
+    expected = {i: set() for i in texts}
+    seen = {}
+    for i, t in texts.items():
+        for k in range(len(t) - spans.SPAN + 1):
+            seen.setdefault(t[k : k + spans.SPAN], []).append((i, k))
+    for places in seen.values():
+        if len({i for i, _ in places}) > 1:
+            for i, k in places:
+                expected[i].update(range(k, k + spans.SPAN))
+    frame = spark.createDataFrame([*texts.items(), (60, texts[60])], "doc_id bigint, text string")
+    for many in (2, 16):
+        got = {r["doc_id"]: r["shared_chars"] for r in spans.shared_chars(frame, many=many).collect()}
+        assert got == {i: len(v) for i, v in expected.items()}
