@@ -30,12 +30,6 @@ NEW, RAGGED, CAPITAL, SMALL, WIDE = 2.0, 1.5, 0.7, 2.5, 0.6
 CLOSED = re.compile(r"[.!?…:;][\"'”’)\]]*\Z")
 
 
-def _same_case(old: str, new: str) -> str:
-    if len(old) > 1 and old.isupper():
-        return new.upper()
-    return new[:1].upper() + new[1:] if old[:1].isupper() else new
-
-
 def repair_token(decoder: S.Decoder, token: str) -> str | None:
     """The token as it was printed; None for a stray mark."""
     kind = decoder.judge(token)
@@ -49,11 +43,12 @@ def repair_token(decoder: S.Decoder, token: str) -> str | None:
     tail = core[-2:] if core.lower().endswith(("'s", "’s")) else ""
     word = core[: len(core) - len(tail)]
     parts = [p if p in decoder.lexicon else decoder.word(p)[1] for p in word.lower().split("-")]
-    return token[:at] + _same_case(word, "-".join(parts)) + tail + token[at + len(core) :]
+    return token[:at] + S.same_case(word, "-".join(parts)) + tail + token[at + len(core) :]
 
 
 def repair_words(decoder: S.Decoder, text: str) -> str:
-    """A line or several: broken words joined, misread ones read, stray marks dropped; line ends stay."""
+    """A line or several: broken and torn words joined, grown ones split, misread ones read, stray marks dropped; line ends stay."""
+    text = S.redone(decoder, text)[0]
     parts, at = [], 0
     for start, end, left, right in S.broken_words(text):
         bare, core = left.rpartition("—")[2].strip(S.EDGE + "-").lower(), S.core_of(right)

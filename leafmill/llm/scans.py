@@ -127,6 +127,10 @@ def core_of(token: str) -> str:
     return core[:-2] if core.endswith(("'s", "’s")) else core
 
 
+ATOM = re.compile(rf"[^{HYPHENS}\s]+")
+AROUND = 2  # atoms beside an unknown one that are decoded with it
+
+
 class Decoder:
     """Reads words and streams with a lexicon of known words and their logarithmic costs."""
 
@@ -139,6 +143,13 @@ class Decoder:
         self.word = lru_cache(maxsize=400_000)(self.read_word)
         self.decode = lru_cache(maxsize=200_000)(self._decode)
         self.judge = lru_cache(maxsize=1_000_000)(self._judge)
+        self.alone = lru_cache(maxsize=1_000_000)(self._alone)
+        self.every = "\n".join(lexicon)
+        by_size: dict[int, float] = {}
+        for w, cost in lexicon.items():
+            by_size[len(w)] = min(by_size.get(len(w), math.inf), cost)
+        # of the words that so many characters can be read as: a confusion changes the length by one at most
+        self.least = [min(by_size.get(k, math.inf) for k in range(n - MOST_OPERATIONS, n + MOST_OPERATIONS + 1)) for n in range(31)]
 
     def read_word(self, token: str) -> tuple[float, str, int]:
         """(cost, reading, confusions) of one word; the fewest confusions first, then the commonest word."""
@@ -183,6 +194,12 @@ class Decoder:
                 joined += atoms[k - 1]
                 if k - 1 > j:
                     paid += inside[seams[k - 2]]
+                    if joined not in self.lexicon and any(x in "ns" for x in seams[j : k - 1]):
+                        # through a blank or line end a misread letter must be sure, and the word be cheaper than its atoms
+                        if len(joined) > 30 or not any(c in HARD for c in joined):
+                            continue
+                        if self.least[len(joined)] + 3.0 + paid > sum(self.word(a)[0] for a in atoms[j:k]) + 3.0 * sum(x in "h-" for x in seams[j:k]):
+                            continue
                 cost, reading, operations = self.word(joined)
                 if operations == 0 and joined not in self.lexicon and len(joined) > 5 and k == j + 1:
                     for at in range(2, len(joined) - 1):  # two words grown together
@@ -210,6 +227,42 @@ class Decoder:
             k = j
         return tuple(reversed(words)), tuple(i + 1 not in cuts for i in range(n - 1)), operations
 
+    def splits(self, low: str) -> bool:
+        return len(low) > 5 and any(low[:at] in self.lexicon and low[at:] in self.lexicon for at in range(2, len(low) - 1))
+
+    def _alone(self, token: str) -> bool:
+        """Whether a blank-free token is sure to be no part of a joined word and no two words grown together."""
+        low = core_of(token)
+        if INNER.search(low):
+            return all(p in self.lexicon for p in INNER.split(low.strip(HYPHENS))) and len(INNER.findall(low)) < 2 and self.judge(token) != "broken"
+        if low in self.lexicon or self.judge(low) == "ok":
+            return True
+        return not any(c in HARD for c in low) and low not in self.every and not self.splits(low)
+
+    def settled(self, atoms: list[str], seams: list[str | None]) -> bool:
+        """Whether ``decode`` is sure to give no word that ``_joined`` takes: looked up, without trying confusions.
+
+        A word over several atoms that is read through confusions costs at least one of them, its
+        seams and the commonest word of about its length; where the atoms by themselves cost less, it is not the cheapest path.
+        """
+        inside = {"h": 0.5, "-": 3.0, "n": 6.0, "s": 7.0}
+        for j, atom in enumerate(atoms):
+            if atom not in self.lexicon and self.splits(atom):
+                return False
+            whole, paid, compound = atom, 0.0, 0.0
+            for k in range(j + 1, min(j + 4, len(atoms))):
+                seam = seams[k - 1]
+                whole, paid, compound = whole + atoms[k], paid + inside[seam], compound + 3.0 * (seam in "h-")
+                if whole in self.lexicon:
+                    return False
+                through = all(x in "h-" for x in seams[j:k])
+                if len(whole) <= 30 and ((through and k - j > 1) or (not through and any(c in HARD for c in whole))):
+                    single = sum(self.word(a)[0] for a in atoms[j : k + 1])
+                    after = 3.0 * (k < len(seams) and seams[k] in "h-")
+                    if single + compound + after >= self.least[len(whole)] + 3.0 + paid:
+                        return False
+        return True
+
     def _judge(self, token: str) -> str:
         """Of one blank-free token: ``ok``, ``glyph`` (sure), ``soft`` (by plain letters alone), ``stray``, ``unknown``."""
         core = token.strip(EDGE)
@@ -260,6 +313,118 @@ class Decoder:
         return "glyph" if hard else "soft"
 
 
+SOFT_BREAK = re.compile(rf" ?[{HYPHENS}]\s+")
+
+
+def _seam(gap: str) -> str | None:
+    """The seam that stands for what is between two atoms; None where no word runs through."""
+    if any(c in HYPHENS for c in gap):
+        return "-" if len(gap) == 1 else "h" if SOFT_BREAK.fullmatch(gap) else None
+    lines = gap.count("\n")
+    return "s" if not lines else "n" if lines == 1 else None
+
+
+def stretches(text: str, decoder: Decoder) -> list[tuple[int, int, str, tuple[str, ...], int]]:
+    """(start, end, reading, seams within, confusions) of the words that are joined or split.
+
+    The text is cut into atoms at blanks, line ends and hyphens, and every stretch around unknown
+    atoms is decoded at once. Marks between two atoms end a stretch. Only words that come out as
+    known ones count; through blanks and line ends a misread letter must be sure. Two atoms with one
+    hyphen are left to the caller, and single letters beside known words are left alone.
+    """
+    if all(map(decoder.alone, text.split())):
+        return []
+    atoms = [(m.start(), m.end(), m.group()) for m in ATOM.finditer(text)]
+    bare, seams, open_, usable = [], [], [], False
+    for k, (start, end, atom) in enumerate(atoms):
+        core = atom.strip(EDGE)
+        low = core.lower()
+        if low.endswith(("'s", "’s")):
+            core, low = core[:-2], low[:-2]
+        word = bool(low) and all(c.isalpha() or c in HARD for c in low) and any(c.isalpha() for c in low)
+        bare.append((low, start + atom.index(core) if core else start, core))
+        open_.append(word and len(low) > 1 and low not in decoder.lexicon and decoder.judge(low) != "ok")
+        if k:
+            before = atoms[k - 1]
+            close = usable and word and before[2].endswith(bare[k - 1][2]) and atom.startswith(core)
+            seams.append(_seam(text[before[1] : start]) if close else None)
+        usable = word
+    inner = [False] * len(atoms)  # parts of a word with two or more hyphens, or with one that is judged to be broken
+    k = 0
+    while k < len(seams):
+        last = k
+        while last < len(seams) and seams[last] == "-":
+            last += 1
+        if last - k > 1 or (last - k == 1 and decoder.judge(text[atoms[k][0] : atoms[last][1]]) == "broken"):
+            inner[k : last + 1] = [True] * (last + 1 - k)
+        k = last + 1
+    near = [False] * len(atoms)
+    for k in range(len(atoms)):
+        if open_[k] or inner[k]:
+            near[max(0, k - AROUND) : k + AROUND + 1] = [True] * (min(len(atoms), k + AROUND + 1) - max(0, k - AROUND))
+    out, k = [], 0
+    while k < len(atoms):
+        if not near[k]:
+            k += 1
+            continue
+        last = k
+        while last + 1 < len(atoms) and near[last + 1] and seams[last]:
+            last += 1
+        if any(open_[k : last + 1]) or any(inner[k : last + 1]):
+            out += _joined(decoder, bare, seams, k, last)
+        k = last + 1
+    return out
+
+
+def _joined(decoder: Decoder, bare: list[tuple[str, int, str]], seams: list[str | None], first: int, last: int) -> Iterator[tuple[int, int, str, tuple[str, ...], int]]:
+    atoms = [b[0] for b in bare[first : last + 1]]
+    if decoder.settled(atoms, seams[first:last]):
+        return
+    words, joins, _ = decoder.decode(tuple(atoms), tuple(seams[first:last]))
+    at = first
+    for reading in words:
+        end = at + reading.count("-")
+        while end < last and joins[end - first]:
+            end += 1
+        within = tuple(seams[at:end])
+        start, stop = bare[at][1], bare[end][1] + len(bare[end][2])
+        if " " in reading:
+            yield start, stop, reading, (), 0
+        elif end > at and "-" not in reading and reading in decoder.lexicon:
+            whole = "".join(b[0] for b in bare[at : end + 1])
+            operations = decoder.word(whole)[2]
+            if not operations or set(within) <= {"h", "-"} or any(c in HARD for c in whole):
+                yield start, stop, reading, within, operations
+        at = end + 1
+
+
+def same_case(old: str, new: str) -> str:
+    if len(old) > 1 and old.isupper():
+        return new.upper()
+    return new[:1].upper() + new[1:] if old[:1].isupper() else new
+
+
+def redone(decoder: Decoder, text: str, solid: bool = True) -> tuple[str, list[tuple[tuple[str, ...], int, str]]]:
+    """The text with joined and split words; (seams, confusions, what stood there) of each.
+
+    A line end inside a word stands behind it then. ``solid``: also words with one seam, a hyphen.
+    """
+    parts, at, done = [], 0, []
+    for start, end, reading, within, operations in stretches(text, decoder):
+        if within == ("h",) or (within == ("-",) and not solid):
+            continue
+        old = text[start:end]
+        parts += [text[at:start], same_case(re.sub(rf"[{HYPHENS}\s]", "", old), reading)]
+        done.append((within, operations, old))
+        at = end
+        if "\n" in old:
+            tail = re.match(r"\S*", text[end:]).group()
+            parts += [tail, "\n"]
+            at = end + len(tail)
+            at += len(re.match(r"[ \t]?", text[at:]).group())
+    return ("".join([*parts, text[at:]]) if done else text), done
+
+
 def words_for_lexicon(text: str) -> list[str]:
     """Tokens of a text without the halves of broken words and a first token that may be one."""
     tokens = without(text, broken_words(text)).split()
@@ -356,12 +521,23 @@ def item_noise(decoder: Decoder, text: str, page: int | None, label: str) -> tup
             else:
                 kinds = {judge(left), judge(right)}
                 glyph |= "glyph" in kinds
-        words = without(words, spans)
+    joint, done = redone(decoder, words, solid=False)
+    if done:  # words read over more than two atoms, or over blanks and line ends; torn words as such are no kind of noise
+        words = joint
+        for within, operations, old in done:
+            hyphen |= "h" in within or "-" in within
+            glyph |= operations > 0 and any(c in HARD for c in old.lower())
+        spans = broken_words(words)
+    words = without(words, spans)
     tokens = words.split()
     first = tokens[0] if tokens and tokens[0][:1].islower() else None
     for t in set(tokens) - decoder.plain:
         kind = judge(t)
-        if kind == "ok" or kind == "unknown":
+        if kind == "unknown":
+            continue
+        if kind == "ok":
+            if len(INNER.findall(t)) > 1:
+                continue
             if len(decoder.plain) > 1_000_000:
                 decoder.plain.clear()
             decoder.plain.add(t)

@@ -62,6 +62,28 @@ def test_joint_decoding(decoder):
     assert decoder.word("zzzz")[1:] == ("zzzz", 0)
 
 
+@pytest.mark.parametrize(
+    ("text", "repaired", "hyphen", "glyph"),
+    [
+        ("the old tun nel stood", "the old tunnel stood", False, False),
+        ("the old tun\nnel stood near", "the old tunnel\nstood near", False, False),
+        ("The oldtunnel stood", "The old tunnel stood", False, False),
+        ("The ware-hou-se stood", "The warehouse stood", True, False),
+        ("the type-set-\nter, stood", "the typesetter,\nstood", True, False),
+        ("a type-set-ter's hand", "a typesetter's hand", True, False),
+        ("the tun ne1 stood", "the tunnel stood", False, True),
+        ("A TUN NEL STOOD", "A TUNNEL STOOD", False, False),
+        ("the ware-house, near", "the warehouse, near", True, False),
+        ("the tun, nel and tun\n\nnel", "the tun, nel and tun\n\nnel", False, False),
+        ("a hand-copied lantern", "a hand-copied lantern", False, False),
+        ("swete wyndes of Ebbundholt", "swete wyndes of Ebbundholt", False, False),
+    ],
+)
+def test_words_over_stretches(decoder, text, repaired, hyphen, glyph):
+    assert paragraphs.repair_words(decoder, text) == repaired
+    assert scans.item_noise(decoder, text, 3, "text")[:2] == (hyphen, glyph)
+
+
 def items(spark, rows):
     return spark.createDataFrame(rows, "item_id bigint, file string, idx int, page_no int, label string, text string, footnote_text string")
 
