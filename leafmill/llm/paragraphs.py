@@ -8,7 +8,9 @@ inside a sentence goes on in the next body item, also on the next page.
 
 A seam needs the body item before. It is looked up in blocks of positions, with the last one of
 the blocks before carried over, so no window holds more than a block of a file. Defined results:
-blank items and page furniture give nothing; headings and list items are paragraphs of their own;
+blank items and page furniture give nothing, and an item labelled header or footer is furniture
+only if its form or the headers of its file prove it (else a footer is a footnote or a further
+part of the one before, a header is a note or body); headings and list items are paragraphs of their own;
 footnotes come as paragraphs of the kind ``footnote`` and join nothing; repeated rows count once.
 """
 
@@ -120,6 +122,28 @@ def paragraphs_of(text: str) -> list[tuple[str, str]]:
     return [("prose" if len(own) == 1 else kind, ("\n" if kind == "verse" else " ").join(own)) for kind, own in path]
 
 
+NOTE = re.compile(r"(?:\d{1,3}[.\s]|\[\d{1,3}\]|\*)\s*\S")
+
+
+def is_furniture(bare: str, page: int | None) -> bool:
+    """Whether the text of an item labelled header or footer is proved to be one by its form.
+
+    A page number, capitals, a bulleted title, or a title: short, closed by no mark, every word but
+    small ones with a capital. Anything else is a note or body that was labelled wrongly.
+    """
+    if S.is_page_number(bare) is not None or S.BULLET_TITLE.fullmatch(bare):
+        return True
+    line = " ".join(bare.split())
+    if len(line) > 90 or line[-1] in ".;:!?":
+        return False
+    own = re.sub(r"^\d{1,4}\s+|\s+\d{1,4}$", "", line)
+    letters = [c for c in own if c.isalpha()]
+    if not letters or all(c.isupper() for c in letters):
+        return True
+    return all(w[0].isupper() or w in TITLE_WORDS for w in re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)?", own))
+
+
+TITLE_WORDS = frozenset("of for and the in on to an a".split())
 KINDS = {"sectionheader": "heading", "listitem": "list", "footnote": "footnote"}
 
 
@@ -133,16 +157,18 @@ def segments(items: DataFrame, lexicon: dict[str, float]) -> DataFrame:
             names = ("file", "idx", "page_no", "label", "text", "footnote_text", "keys")
             for file, idx, page, label, text, foot, keys in zip(*(batch.column(n).to_pylist() for n in names)):
                 label, keys = S.plain_label(label), set(keys or ())
-                if label in ("pageheader", "pagefooter"):
-                    continue
-                source = foot if label == "footnote" and foot and foot.strip() else text
+                marginal = label in ("pageheader", "pagefooter")
+                note = bool(foot and foot.strip())
+                source = foot if note and (marginal or label == "footnote") else text
                 if not source or not source.strip():
                     continue
                 bare = source.strip()
                 if (len(bare) <= 12 and S.is_page_number(bare) is not None) or S.header_key(bare) in keys:
                     continue
+                if marginal and not note and is_furniture(bare, page):
+                    continue
                 repaired = repair_words(decoder, without_furniture(source, page, keys))
-                kind = KINDS.get(label)
+                kind = "footnote" if label == "pagefooter" or (marginal and (note or NOTE.match(bare))) else KINDS.get(label)
                 own = [(kind, " ".join(repaired.split()))] if kind else paragraphs_of(repaired)
                 for k, (what, value) in enumerate(own[:SEGMENTS]):
                     if value:

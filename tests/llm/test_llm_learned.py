@@ -110,6 +110,16 @@ def test_paragraphs_over_pages(spark, monkeypatch):
         assert [r["text"] for r in got] == ["the old typesetter stood inside the tunnel.", "Summer", "Old and small."]
 
 
+def test_labelled_furniture_is_proved(spark):
+    lexicon = {w: 1.0 for w in WORDS}
+    prose = "So the lantern of the tunnel stood near the bridge."
+    rows = [(1, "f", 1, 3, "page_footer", "3", None), (2, "f", 2, 3, "page_header", "The Meadow of Summer", None), (3, "f", 3, 3, "Page-Footer", prose, None), (4, "f", 4, 3, "page_footer", "2 the old", "2 the old kettle"), (5, "f", 5, 3, "page_footer", "[4] a wanderer stood", None)]
+    rows += [(6, "f", 6, 4, "page_header", "THE OLD MEADOW 4", None), (7, "f", 7, 4, "page_footer", "- 4 -", None), (8, "f", 8, 4, "page_header", "4 • The Meadow", None), (9, "f", 9, 4, "page_footer", "S U M M E R   A N D   O L D", None), (10, "f", 10, 4, "page_footer", None, " ")]
+    frame = items(spark, rows).selectExpr("*", "CAST(NULL AS array<string>) AS keys")
+    got = paragraphs.segments(frame, lexicon).orderBy("ord").collect()
+    assert [(r["kind"], r["text"]) for r in got] == [("footnote", prose), ("footnote", "2 the old kettle"), ("footnote", "[4] a wanderer stood")]
+
+
 def test_repeated_share():
     share = lambda t: repetition.repeated_share(repetition.words_of(t))
     assert share(None) == share("") == share("one two") == 0.0
