@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.sources.scratch import cut_lineage, ensure_checkpoint_dir  # noqa: F401
+from leafmill.sources.scratch import cut_lineage  # noqa: F401
 
 TOKENIZER_DIR = "/opt/tokenizers"
 

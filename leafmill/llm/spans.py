@@ -8,12 +8,19 @@ whole chunk: a start within its first 15 + 90 positions, its end at most 64 + 16
 So chunks of equal digest find every pair (no recall is lost, up to hash collisions), and an
 exact comparison of the characters around them follows.
 
-Digests are counted with partial aggregation. Of a digest in few places, the places' contexts
-are compared pair by pair. A digest in many places (a boilerplate, periodic text) is never
-expanded into pairs: its places list the digests of all 200-character windows around the chunk,
-and only equal windows, which are true cases, meet. For the pairs, windows with the same set of
-documents are joined once; for the shares, every place of every window that is in more than one
-document counts, merged to ranges for each document without any pairs.
+Every chunk's place goes through one exchange by its digest. Behind it the places stand in order
+of digest and document, and a pass over them keeps the digests that are in two documents or more;
+it holds at most ``MANY`` places. Digests that a documented sample already shows in a hundredth of
+its documents need no counting: their places are spread over all tasks by document. The sample
+decides where rows are worked on, never which rows come out.
+
+Of a digest in few places, the places' contexts are compared pair by pair. A digest in many
+places (a boilerplate, periodic text) is never expanded into pairs: its places list the digests
+of all 200-character windows around the chunk, and only equal windows, which are true cases,
+meet. Both ways are exact, so where the line between them is drawn changes no row. For the pairs,
+windows with the same set of documents are joined once, and the join of a window that is in many
+documents is split over tasks; for the shares, every place of every window that is in more than
+one document counts, merged to ranges for each document without any pairs.
 
 Defined results: null, empty and short texts have no case; a repeated row of a document is the
 same document; spans within one document alone do not count.
@@ -37,6 +44,10 @@ START_WINDOW = 90
 END_WINDOW = 16
 CHUNK_CHARS = 64
 MANY = 16
+# Of the sample that finds hot digests: documents, and the share of them from which a digest is hot.
+SAMPLE = 2000
+HOT_SHARE = 0.01
+PAIR_BLOCK = 256
 
 
 def _minima(keys: np.ndarray, width: int, owner: np.ndarray) -> np.ndarray:
@@ -72,17 +83,25 @@ def chunks_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return who, low - first[who], high - first[who], digests.view(np.int64)
 
 
-def postings(documents: DataFrame, key: str, text: str, longest: int = 4_000_000) -> DataFrame:
-    """(digest, doc, low, high) of every chunk. Texts are taken in groups of about ``longest`` characters."""
-    source = documents.select(F.col(f"`{key}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text")).filter(F.length("text") >= SPAN)
+def _keyed(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc, text) of the documents that can have a case."""
+    return documents.select(F.col(f"`{key}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text")).filter(F.length("text") >= SPAN)
+
+
+def postings(texts: DataFrame, hot: frozenset[int] = frozenset(), longest: int = 4_000_000) -> DataFrame:
+    """(digest, doc, place) of every chunk; the place is 256 * start + length, and -1 - that for hot digests.
+
+    Texts are taken in groups of about ``longest`` characters.
+    """
+    known = np.array(sorted(hot), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(keys: list[int], texts: list[str]) -> pa.RecordBatch:
             who, low, high, digests = chunks_of(texts)
-            doc = np.array(keys, np.int64)[who]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(digests), pa.array(doc), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], names=["digest", "doc", "low", "high"]
-            )
+            place = low * 256 + (high - low)
+            if known.size:
+                place = np.where(np.isin(digests, known), -1 - place, place)
+            return pa.RecordBatch.from_arrays([pa.array(digests), pa.array(np.array(keys, np.int64)[who]), pa.array(place)], names=["digest", "doc", "place"])
 
         for batch in batches:
             keys, texts, size = [], [], 0
@@ -96,7 +115,77 @@ def postings(documents: DataFrame, key: str, text: str, longest: int = 4_000_000
             if keys:
                 yield made(keys, texts)
 
-    return source.mapInArrow(run, "digest bigint, doc bigint, low int, high int")
+    return texts.mapInArrow(run, "digest bigint, doc bigint, place bigint")
+
+
+def hot_digests(texts: DataFrame, sample: int = SAMPLE, share: float = HOT_SHARE) -> frozenset[int]:
+    """Digests in at least the share of a sample of about ``sample`` documents, and in two of them at least.
+
+    At most (chunks of the sample) / (share * sample) digests come to the driver.
+    """
+    many = max(texts.count(), 1)
+    parts = max(1, many // sample)
+    chosen = texts.filter(F.pmod(F.xxhash64("doc"), F.lit(parts)) == 0)
+    rows = postings(chosen).select("digest", "doc").distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    return frozenset(r["digest"] for r in rows.filter(F.col("n") >= max(2, share * min(many, sample))).select("digest").collect())
+
+
+def _in_two(many: int):
+    """Keeps, of places in order of (digest, doc, place), those of digests in two documents or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = np.empty(0, np.int64)
+        carry = (empty, empty, empty)
+        settled: int | None = None  # a digest that is known to be in many places
+
+        def rows(digest: np.ndarray, doc: np.ndarray, place: np.ndarray, flag: np.ndarray) -> pa.RecordBatch:
+            place = np.where(place < 0, -1 - place, place)
+            low, size = (place >> 8).astype(np.int32), (place & 255).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(digest), pa.array(doc), pa.array(low), pa.array(low + size), pa.array(flag)], names=["digest", "doc", "low", "high", "many"])
+
+        def chosen(digest: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+            starts = np.flatnonzero(np.r_[True, digest[1:] != digest[:-1]])
+            counts = np.diff(np.r_[starts, digest.size])
+            hot = place[starts] < 0
+            kept = (doc[starts] != doc[starts + counts - 1]) | hot
+            taken = np.repeat(kept, counts)
+            return rows(digest[taken], doc[taken], place[taken], np.repeat(hot | (counts > many), counts)[taken])
+
+        for batch in batches:
+            digest, doc, place = (np.concatenate([c, batch.column(k).to_numpy()]) for k, c in enumerate(carry))
+            if not digest.size:
+                continue
+            fresh = np.r_[True, (digest[1:] != digest[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])]  # repeated rows
+            digest, doc, place = digest[fresh], doc[fresh], place[fresh]
+            if settled is not None:
+                n = int(np.searchsorted(digest, settled, side="right"))
+                if n:
+                    yield rows(digest[:n], doc[:n], place[:n], np.ones(n, bool))
+                    digest, doc, place = digest[n:], doc[n:], place[n:]
+                if digest.size:
+                    settled = None
+                else:
+                    carry = (empty, empty, empty)
+                    continue
+            last = int(np.searchsorted(digest, digest[-1]))
+            if last:
+                yield chosen(digest[:last], doc[:last], place[:last])
+            carry = (digest[last:], doc[last:], place[last:])
+            if carry[0].size > many and carry[1][0] != carry[1][-1]:
+                settled = int(carry[0][0])
+                yield rows(*carry, np.ones(carry[0].size, bool))
+                carry = (empty, empty, empty)
+        if carry[0].size:
+            yield chosen(*carry)
+
+    return run
+
+
+def repeated_chunks(texts: DataFrame, many: int = MANY) -> DataFrame:
+    """(digest, doc, low, high, many): the places of all chunks that are in two documents or more."""
+    spread = F.when(F.col("place") < 0, F.col("doc")).otherwise(F.col("digest"))
+    ordered = postings(texts, hot_digests(texts)).repartition(spread).sortWithinPartitions("digest", "doc", "place")
+    return ordered.mapInArrow(_in_two(many), "digest bigint, doc bigint, low int, high int, many boolean")
 
 
 def _common_prefix(a: str, b: str) -> int:
@@ -135,39 +224,54 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _chunk_places(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(doc, text) of the documents that can have a case; the places of all chunks that are in more than one."""
-    places = postings(documents, key, text)
-    counted = places.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("n"))
-    repeated = cut_lineage(places.join(counted.filter("least < most").select("digest", "n"), "digest"))
-    texts = documents.select(F.col(f"`{key}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text")).filter(F.length("text") >= SPAN)
-    return texts, repeated
-
-
-def _with_text(texts: DataFrame, chosen: DataFrame) -> DataFrame:
-    return texts.join(chosen.distinct().groupBy("doc").agg(F.collect_list(F.struct("digest", "low", "high")).alias("own")), "doc")
+def _evidence(texts: DataFrame, many: int, every: bool) -> DataFrame:
+    """Contexts of the chunks in few places, and windows around those in many.
 
+    (digest, doc, low, left, chunk, right) with a null ``window``, or (doc, low, window) with a null ``digest``.
+    ``every``: all places of a window in a document, else its first one. The texts are read once,
+    for the places that are left.
+    """
+    own = repeated_chunks(texts, many).groupBy("doc").agg(F.collect_list(F.struct("digest", "low", "high", "many")).alias("own"))
+    fields = (("digest", pa.int64()), ("doc", pa.int64()), ("low", pa.int32()), ("left", pa.string()), ("chunk", pa.string()), ("right", pa.string()), ("window", pa.binary()))
 
-def _near_spans(frame: DataFrame) -> DataFrame:
-    """Spans of every pair of places of the chunks that are in few places."""
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
-            rows = []
-            for doc, own, body in zip(batch.column("doc").to_pylist(), batch.column("own").to_pylist(), batch.column("text").to_pylist()):
-                for p in own:
+            out: list[tuple] = []
+            for doc, places, body in zip(batch.column("doc").to_pylist(), batch.column("own").to_pylist(), batch.column("text").to_pylist()):
+                frequent = []
+                for p in places:
                     low, high = p["low"], p["high"]
+                    if p["many"]:
+                        frequent.append((low, high))
+                        continue
                     spare = SPAN - (high - low)
-                    rows.append((p["digest"], doc, low, body[max(0, low - spare) : low], body[low:high], body[high : high + spare]))
-            columns = list(zip(*rows)) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()))],
-                names=["digest", "doc", "low", "left", "chunk", "right"],
-            )
+                    out.append((p["digest"], doc, low, body[max(0, low - spare) : low], body[low:high], body[high : high + spare], None))
+                if not frequent:
+                    continue
+                raw = memoryview(body.encode("utf-32-le", "surrogatepass"))
+                seen: set[bytes] = set()
+                done = -1
+                for low, high in sorted(frequent):
+                    for at in range(max(done + 1, high - SPAN, 0), min(low, len(body) - SPAN) + 1):
+                        done = at
+                        window = digest(raw[4 * at : 4 * (at + SPAN)])
+                        if not every:
+                            if window in seen:
+                                continue
+                            seen.add(window)
+                        out.append((None, doc, at, None, None, None, window))
+            columns = list(zip(*out)) if out else [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+
+    joined = texts.join(own, "doc").select("doc", "own", "text")
+    return cut_lineage(joined.mapInArrow(run, "digest bigint, doc bigint, low int, left string, chunk string, right string, window binary"))
 
+
+def _near_spans(evidence: DataFrame) -> DataFrame:
+    """(doc_id_a, doc_id_b, at_a, at_b, size) of every pair of places of the chunks that are in few places."""
     return (
-        frame.select("doc", "own", "text")
-        .mapInArrow(contexts, "digest bigint, doc bigint, low int, left string, chunk string, right string")
+        evidence.filter("digest IS NOT NULL")
         .groupBy("digest")
         .agg(F.collect_list(F.struct("doc", "low", "left", "chunk", "right")).alias("places"))  # at most ``many`` places
         .select("places")
@@ -175,17 +279,33 @@ def _near_spans(frame: DataFrame) -> DataFrame:
     )
 
 
+def _window_spans(evidence: DataFrame) -> DataFrame:
+    """Spans found by equal windows: enough of them for every pair, not for every character.
+
+    The one side of a window in n documents is split into n / ``PAIR_BLOCK`` parts and the other
+    one repeated for each, so no task pairs more than a block with all the others.
+    """
+    listed = evidence.filter("window IS NOT NULL").select(F.col("window").alias("key"), "doc", "low")
+    sets = listed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("xor")).filter("n > 1")
+    one = sets.groupBy("n", "sum", "xor").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / PAIR_BLOCK).cast("int").alias("parts"))
+    chosen = listed.join(one, "key")
+    left = chosen.select("key", "doc", "low", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part"))
+    right = chosen.select("key", F.col("doc").alias("doc_id_b"), F.col("low").alias("at_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return (
+        left.join(right, ["key", "part"])
+        .filter("doc < doc_id_b")
+        .select(F.col("doc").alias("doc_id_a"), "doc_id_b", F.col("low").alias("at_a"), "at_b", F.lit(SPAN).alias("size"))
+    )
+
+
 def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text", many: int = MANY) -> DataFrame:
     """(doc_id_a, doc_id_b, at_a, at_b, size): common spans that are a case, or parts of longer ones.
 
     Each pair of documents with a case has at least one row. Of texts in many places the rows name
     one window for each set of documents; what they cover in full is in ``shared_ranges``.
     """
-    texts, repeated = _chunk_places(documents, key, text)
-    near = _near_spans(_with_text(texts, repeated.filter(F.col("n") <= many)))
-    if repeated.filter(F.col("n") > many).isEmpty():
-        return near
-    return near.unionByName(_window_spans(_with_text(texts, repeated.filter(F.col("n") > many))))
+    evidence = _evidence(_keyed(documents, key, text), many, False)
+    return _near_spans(evidence).unionByName(_window_spans(evidence))
 
 
 def shared_ranges(documents: DataFrame, key: str = "doc_id", text: str = "text", many: int = MANY) -> DataFrame:
@@ -194,57 +314,10 @@ def shared_ranges(documents: DataFrame, key: str = "doc_id", text: str = "text",
     Together they cover exactly the characters that stand in a span of SPAN or more characters that
     another document has too.
     """
-    texts, repeated = _chunk_places(documents, key, text)
-    spans = cut_lineage(_near_spans(_with_text(texts, repeated.filter(F.col("n") <= many))))
-    near = spans.select(F.col("doc_id_a").alias("doc"), F.col("at_a").alias("low"), (F.col("at_a") + F.col("size")).alias("high")).unionByName(
-        spans.select(F.col("doc_id_b").alias("doc"), F.col("at_b").alias("low"), (F.col("at_b") + F.col("size")).alias("high"))
-    )
-    if repeated.filter(F.col("n") > many).isEmpty():
-        return near.distinct()
-    return near.distinct().unionByName(_window_ranges(_with_text(texts, repeated.filter(F.col("n") > many))))
-
-
-def _windows(frame: DataFrame, every: bool) -> DataFrame:
-    """(key, doc, low): the windows of exactly SPAN characters around chunks that are in many places.
-
-    ``every``: all places of a window in a document, else its first one.
-    """
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
-        for batch in batches:
-            keys, docs, lows = [], [], []
-            for doc, own, body in zip(batch.column("doc").to_pylist(), batch.column("own").to_pylist(), batch.column("text").to_pylist()):
-                raw = memoryview(body.encode("utf-32-le", "surrogatepass"))
-                seen: set[bytes] = set()
-                done = -1
-                for p in sorted(own, key=lambda p: p["low"]):
-                    for at in range(max(done + 1, p["high"] - SPAN, 0), min(p["low"], len(body) - SPAN) + 1):
-                        done = at
-                        window = digest(raw[4 * at : 4 * (at + SPAN)])
-                        if not every:
-                            if window in seen:
-                                continue
-                            seen.add(window)
-                        keys.append(window)
-                        docs.append(doc)
-                        lows.append(at)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(docs, pa.int64()), pa.array(lows, pa.int32())], names=["key", "doc", "low"])
-
-    return cut_lineage(frame.select("doc", "own", "text").mapInArrow(windows, "key binary, doc bigint, low int"))
-
-
-def _window_spans(frame: DataFrame) -> DataFrame:
-    """Spans found by equal windows: enough of them for every pair, not for every character."""
-    listed = _windows(frame, False)
-    sets = listed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("xor")).filter("n > 1")
-    chosen = listed.join(sets.groupBy("n", "sum", "xor").agg(F.min("key").alias("key")).select("key"), "key")
-    other = chosen.select("key", F.col("doc").alias("doc_id_b"), F.col("low").alias("at_b"))
-    return (
-        chosen.join(other, "key")
-        .filter("doc < doc_id_b")
-        .select(F.col("doc").alias("doc_id_a"), "doc_id_b", F.col("low").alias("at_a"), "at_b", F.lit(SPAN).alias("size"))
-    )
+    evidence = _evidence(_keyed(documents, key, text), many, True)
+    side = lambda x: F.struct(F.col(f"doc_id_{x}").alias("doc"), F.col(f"at_{x}").alias("low"), (F.col(f"at_{x}") + F.col("size")).alias("high"))
+    near = _near_spans(evidence).select(F.explode(F.array(side("a"), side("b"))).alias("r")).select("r.*").distinct()
+    return near.unionByName(_window_ranges(evidence))
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,9 +338,9 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((doc, low, high), kinds)], names=names)
 
 
-def _window_ranges(frame: DataFrame) -> DataFrame:
+def _window_ranges(evidence: DataFrame) -> DataFrame:
     """(doc, low, high) covered by all windows that are in more than one document; no pairs are made."""
-    listed = _windows(frame, True)
+    listed = evidence.filter("window IS NOT NULL").select(F.col("window").alias("key"), "doc", "low")
     shared = listed.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("key")
     kept = listed.join(shared, "key").select("doc", "low")
     return kept.repartition("doc").sortWithinPartitions("doc", "low").mapInArrow(_merged, "doc bigint, low int, high int")
