@@ -1,21 +1,48 @@
-"""Reliable intermediate results in the shared folder that the cluster names."""
+"""Reliable intermediate results: tables written to the shared folder that the cluster names.
+
+A written table is compressed, is read by column, and does not depend on any executor. Tables are
+deleted when the application ends, or earlier by ``clear_scratch``.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a local one is set only in local mode without the setting (tests).
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the folder of spark.checkpoint.dir; sets a local one only where none is set (tests)."""
+    A cluster without the setting is an error: a folder of the driver's machine is no shared folder.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="leafmill-checkpoint-"))
+        if not named:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+            named = tempfile.mkdtemp(prefix="leafmill-scratch-")
+        context.setCheckpointDir(named)
+    return context.getCheckpointDir()
 
 
 def cut_lineage(frame: DataFrame) -> DataFrame:
-    """A reliable checkpoint: computed once, kept in the shared folder, safe from the loss of executors."""
-    ensure_checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    """The rows of a frame, computed once and read back from a table in the shared folder."""
+    spark = frame.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    frame.write.option("compression", "zstd").parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    _written.append(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes the tables written so far; frames that were made from them can't be read any more."""
+    while _written:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
