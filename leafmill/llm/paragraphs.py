@@ -6,12 +6,16 @@ it as prose or as verse, or begins a new one, and the path of the least cost win
 between body items are judged, over headers, footers and footnotes in between: prose that ends
 inside a sentence goes on in the next body item, also on the next page.
 
-A seam needs the body item before. It is looked up in blocks of positions, with the last one of
-the blocks before carried over, so no window holds more than a block of a file. Defined results:
-blank items and page furniture give nothing, and an item labelled header or footer is furniture
-only if its form or the headers of its file prove it (else a footer is a footnote or a further
-part of the one before, a header is a note or body); headings and list items are paragraphs of their own;
-footnotes come as paragraphs of the kind ``footnote`` and join nothing; repeated rows count once.
+The texts are shuffled once, by file and block of ``BLOCK`` positions, together with the proved
+running headers of their items; a block's items are repaired and joined in one pass. Only the first
+and the last body paragraph of a block may go on beyond it: these few are joined afterwards along
+the blocks of their file, so a file with a third of all rows is as many tasks as it has blocks.
+
+Defined results: blank items and page furniture give nothing, and an item labelled header or footer
+is furniture only if its form or the headers of its file prove it (else a footer is a footnote or a
+further part of the one before, a header is a note or body); headings and list items are paragraphs
+of their own; footnotes come as paragraphs of the kind ``footnote`` and join nothing; repeated rows
+count once; a null position counts as 0, ties are ordered by item.
 """
 
 from __future__ import annotations
@@ -27,7 +31,6 @@ from leafmill.llm import scans as S
 from leafmill.llm.common import cut_lineage, table
 
 BLOCK = 2048
-SEGMENTS = 4096
 NEW, RAGGED, CAPITAL, SMALL, WIDE = 2.0, 1.5, 0.7, 2.5, 0.6
 CLOSED = re.compile(r"[.!?…:;][\"'”’)\]]*\Z")
 
@@ -50,10 +53,12 @@ def repair_token(decoder: S.Decoder, token: str) -> str | None:
 
 def repair_words(decoder: S.Decoder, text: str) -> str:
     """A line or several: broken and torn words joined, grown ones split, misread ones read, stray marks dropped; line ends stay."""
+    if not decoder.suspects(text):
+        return "\n".join(" ".join(line.split()) for line in text.split("\n"))
     text = S.redone(decoder, text)[0]
     parts, at = [], 0
     for start, end, left, right in S.broken_words(text):
-        bare, core = left.rpartition("—")[2].strip(S.EDGE + "-").lower(), S.core_of(right)
+        bare, core = re.split("[—–]", left)[-1].strip(S.EDGE + "-").lower(), S.core_of(right)
         if not bare or not core or not bare[-1].isalpha() or not core[0].isalpha():
             continue
         joins = decoder.decode((S.INNER.split(bare)[-1], core), ("h",))[1]
@@ -73,7 +78,7 @@ def without_furniture(text: str, page: int | None, keys: set[str]) -> str:
     kept = []
     for line in text.split("\n"):
         bare = line.strip()
-        alone = bare and len(bare) <= 90 and (S.header_key(bare) in keys or S._capitals(bare) or (S.is_page_number(bare) is not None and (S.is_page_number(bare) == page or len(bare) > 4)))
+        alone = bare and (S.header_key(bare) in keys or S._capitals(bare) or (S.is_page_number(bare) is not None and (S.is_page_number(bare) == page or len(bare) > 4)))
         if not alone:
             kept.append(line)
     text = "\n".join(kept)
@@ -84,10 +89,15 @@ def without_furniture(text: str, page: int | None, keys: set[str]) -> str:
 
 
 def paragraphs_of(text: str) -> list[tuple[str, str]]:
-    """(kind, text) of the paragraphs of an item: the cheapest way to go on or begin anew, line by line."""
+    """(kind, text) of the paragraphs of an item: the cheapest way to go on or begin anew, line by line.
+
+    Each line has a state for prose and one for verse, with the state of the line before that it came
+    from; a paragraph's last line and kind are all that the next step looks at, so the work is linear.
+    """
     lines = text.split("\n")
     width = max((len(x) for x in lines), default=0)
-    states: dict[str, tuple[float, list[tuple[str, list[str]]]]] = {}
+    rows: list[str] = []
+    steps: list[dict[str, tuple[float, str | None, bool]]] = []  # kind -> (cost, kind of the line before, begins anew)
     blank = True
     for line in lines:
         bare = line.strip()
@@ -95,31 +105,39 @@ def paragraphs_of(text: str) -> list[tuple[str, str]]:
             blank = True
             continue
         capital, small = bare[0].isupper() or not bare[0].isalpha(), bare[0].islower()
-        fresh: dict[str, tuple[float, list[tuple[str, list[str]]]]] = {}
+        fresh: dict[str, tuple[float, str | None, bool]] = {}
+        closed = bool(rows) and bool(CLOSED.search(rows[-1]))
         for kind in ("prose", "verse"):
-            own = (SMALL * small if kind == "verse" else 0.0) + (WIDE * (len(bare) > 0.95 * width and width > 60) if kind == "verse" else 0.0)
-            best = None
-            if states:
-                cost, path = min(states.values(), key=lambda s: s[0])
-                inside = path[-1][0] == "prose" and not blank and not CLOSED.search(path[-1][1][-1])
-                best = (cost + NEW * (0.2 if blank else 1.0) + CAPITAL * inside + own, [*path, (kind, [bare])])
-                if kind in states:
-                    cost, path = states[kind]
-                    before = path[-1][1][-1]
-                    on = own + (1.5 if blank else 0.0)
-                    if kind == "prose":  # a prose line is broken where the next word did not fit, and mostly inside a sentence
-                        ragged = len(before) + 1 + len(bare.split()[0]) <= 0.92 * width
-                        on += RAGGED * ragged + CAPITAL * (capital and not CLOSED.search(before))
-                    if cost + on < best[0]:
-                        best = (cost + on, [*path[:-1], (kind, [*path[-1][1], bare])])
-            else:
-                best = (own + (0.5 if kind == "verse" else 0.0), [(kind, [bare])])
+            own = (SMALL * small + WIDE * (len(bare) > 0.95 * width and width > 60)) if kind == "verse" else 0.0
+            if not steps:
+                fresh[kind] = (own + (0.5 if kind == "verse" else 0.0), None, True)
+                continue
+            last = min(steps[-1], key=lambda k: steps[-1][k][0])
+            inside = last == "prose" and not blank and not closed
+            best = (steps[-1][last][0] + NEW * (0.2 if blank else 1.0) + CAPITAL * inside + own, last, True)
+            on = own + (1.5 if blank else 0.0)
+            if kind == "prose":  # a prose line is broken where the next word did not fit, and mostly inside a sentence
+                ragged = len(rows[-1]) + 1 + len(bare.split()[0]) <= 0.92 * width
+                on += RAGGED * ragged + CAPITAL * (capital and not closed)
+            if steps[-1][kind][0] + on < best[0]:
+                best = (steps[-1][kind][0] + on, kind, False)
             fresh[kind] = best
-        states, blank = fresh, False
-    if not states:
+        rows.append(bare)
+        steps.append(fresh)
+        blank = False
+    if not rows:
         return []
-    path = min(states.values(), key=lambda s: s[0])[1]
-    return [("prose" if len(own) == 1 else kind, ("\n" if kind == "verse" else " ").join(own)) for kind, own in path]
+    kind = min(steps[-1], key=lambda k: steps[-1][k][0])
+    out: list[tuple[str, list[str]]] = []
+    own: list[str] = []
+    for k in range(len(rows) - 1, -1, -1):
+        own.append(rows[k])
+        _, before, anew = steps[k][kind]
+        if anew:
+            out.append((kind, own[::-1]))
+            own = []
+        kind = before or kind
+    return [("prose" if len(own) == 1 else kind, ("\n" if kind == "verse" else " ").join(own)) for kind, own in reversed(out)]
 
 
 NOTE = re.compile(r"(?:\d{1,3}[.\s]|\[\d{1,3}\]|\*)\s*\S")
@@ -147,90 +165,116 @@ TITLE_WORDS = frozenset("of for and the in on to an a".split())
 KINDS = {"sectionheader": "heading", "listitem": "list", "footnote": "footnote"}
 
 
-def segments(items: DataFrame, lexicon: dict[str, float]) -> DataFrame:
-    """(file, ord, page_no, kind, text, goes_on): the repaired paragraphs of each item by themselves."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = S.Decoder(lexicon)
-        for batch in batches:
-            out = []
-            names = ("file", "idx", "page_no", "label", "text", "footnote_text", "keys")
-            for file, idx, page, label, text, foot, keys in zip(*(batch.column(n).to_pylist() for n in names)):
-                label, keys = S.plain_label(label), set(keys or ())
-                marginal = label in ("pageheader", "pagefooter")
-                note = bool(foot and foot.strip())
-                source = foot if note and (marginal or label == "footnote") else text
-                if not source or not source.strip():
-                    continue
-                bare = source.strip()
-                if (len(bare) <= 12 and S.is_page_number(bare) is not None) or S.header_key(bare) in keys:
+def item_parts(decoder: S.Decoder, page: int | None, label: str | None, text: str | None, foot: str | None, keys: set[str]) -> list[tuple[str, str]]:
+    """(kind, repaired text) of the paragraphs of one item by itself."""
+    label = S.plain_label(label)
+    marginal = label in ("pageheader", "pagefooter")
+    note = bool(foot and foot.strip())
+    source = foot if note and (marginal or label == "footnote") else text
+    if not source or not source.strip():
+        return []
+    bare = source.strip()
+    if S.is_page_number(bare) is not None or S.header_key(bare) in keys:
+        return []
+    if marginal and not note and is_furniture(bare, page):
+        return []
+    repaired = repair_words(decoder, without_furniture(source, page, keys))
+    kind = "footnote" if label == "pagefooter" or (marginal and (note or NOTE.match(bare))) else KINDS.get(label)
+    own = [(kind, " ".join(repaired.split()))] if kind else paragraphs_of(repaired)
+    return [(what, value) for what, value in own if value]
+
+
+def joined_text(decoder: S.Decoder, parts: list[str]) -> str:
+    """The parts of one paragraph as one text; a word that is broken at a seam is joined."""
+    pieces: list[str] = []
+    for x in parts:
+        if pieces:
+            half = S.letters_at_end(pieces[-1][:-1]) if pieces[-1][-1:] in S.HYPHENS else ""
+            if half and decoder.decode((half.lower(), S.core_of(x.split(None, 1)[0])), ("h",))[1][0]:
+                pieces[-1] = pieces[-1][:-1]
+            elif not half:
+                pieces.append(" ")
+        pieces.append(x)
+    return "".join(pieces)
+
+
+OUT = "file string, start_idx int, start_part int, page_no int, end_page int, kind string, text string"
+#: A paragraph that may go on in a neighbouring block: its block, its place in it (0 the first, 1 the last body
+#: paragraph), whether it may go on with one before, and whether it ends inside a sentence.
+EDGE = "block bigint, side int, goes_on boolean, ends_open boolean"
+
+
+def blocks(items: DataFrame, keys: DataFrame, lexicon: dict[str, float]) -> DataFrame:
+    """(file, start_idx, start_part, page_no, end_page, kind, text, block, side, goes_on, ends_open): paragraphs as far as a block reaches."""
+    at = F.floor(F.coalesce(F.col("idx"), F.lit(0)) / BLOCK)
+    left = items.select(F.coalesce("file", F.lit("")).alias("file"), at.alias("block"), "item_id", F.coalesce("idx", F.lit(0)).alias("idx"), "page_no", "label", "text", "footnote_text")
+    right = keys.select(F.coalesce("file", F.lit("")).alias("file"), at.alias("block"), "item_id", "key")
+
+    def run(items: pa.Table, keys: pa.Table) -> pa.Table:
+        decoder = S.shared_decoder(lexicon)
+        own: dict[int, set[str]] = {}
+        for item, key in zip(keys.column("item_id").to_pylist(), keys.column("key").to_pylist()):
+            own.setdefault(item, set()).add(key)
+        rows = sorted(zip(*(items.column(n).to_pylist() for n in ("idx", "item_id", "page_no", "label", "text", "footnote_text", "file", "block"))), key=lambda r: (r[0], r[1]))
+        done: list[list] = []  # [idx, part, page, end page, kind, texts, may go on with one before]
+        body: list[int] = []
+        before = None
+        for idx, item, page, label, text, foot, _, _ in rows:
+            if item == before and item is not None:  # delivered twice
+                continue
+            before = item
+            for k, (kind, value) in enumerate(item_parts(decoder, page, label, text, foot, own.get(item, set()))):
+                if kind == "footnote":
+                    done.append([idx, k, page, page, kind, [value], False])
                     continue
-                if marginal and not note and is_furniture(bare, page):
+                last = done[body[-1]] if body else None
+                runs = k == 0 and kind == "prose"
+                if runs and last and last[4] == "prose" and not CLOSED.search(last[5][-1]):
+                    last[5].append(value)
+                    last[2:4] = [min((p for p in (last[2], page) if p is not None), default=None), max((p for p in (last[3], page) if p is not None), default=None)]
                     continue
-                repaired = repair_words(decoder, without_furniture(source, page, keys))
-                kind = "footnote" if label == "pagefooter" or (marginal and (note or NOTE.match(bare))) else KINDS.get(label)
-                own = [(kind, " ".join(repaired.split()))] if kind else paragraphs_of(repaired)
-                for k, (what, value) in enumerate(own[:SEGMENTS]):
-                    if value:
-                        out.append((file, idx * SEGMENTS + k, page, what, value, k == 0))
-            columns = list(zip(*out)) if out else [()] * 6
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["file", "ord", "page_no", "kind", "text", "first"])
-
-    chosen = items.select("file", F.col("idx").cast("bigint").alias("idx"), "page_no", "label", "text", "footnote_text", "keys")
-    return chosen.mapInArrow(run, "file string, ord bigint, page_no int, kind string, text string, first boolean")
-
-
-def _before(frame: DataFrame, value: Column, name: str, inclusive: bool) -> DataFrame:
-    """Adds the last non-null value of the rows before (and at) each row of its file, by blocks."""
-    marked = frame.withColumn("__block", F.floor(F.col("ord") / (BLOCK * SEGMENTS))).withColumn("__value", value)
-    last = marked.groupBy("file", "__block").agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.col("ord"))).alias("__last"))
-    earlier = Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    last = last.withColumn("__carry", F.last("__last", ignorenulls=True).over(earlier)).select("file", "__block", "__carry")
-    inner = Window.partitionBy("file", "__block").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    joined = marked.join(last, ["file", "__block"])
-    return joined.withColumn(name, F.coalesce(F.last("__value", ignorenulls=True).over(inner), F.col("__carry"))).drop("__block", "__value", "__carry")
-
-
-def join_seams(parts: DataFrame, lexicon: dict[str, float]) -> DataFrame:
-    """(file, start_ord, page_no, end_page, kind, text): segments that one paragraph runs through, joined."""
-    notes = parts.filter("kind = 'footnote'").withColumn("start", F.col("ord"))
-    open_end = F.struct((F.col("kind") == "prose").alias("prose"), (~F.col("text").rlike(r"[.!?…:;][\"'”’)\]]*$")).alias("open"))
-    body = _before(parts.filter("kind <> 'footnote'"), open_end, "earlier", False)
-    goes_on = F.coalesce(F.col("first") & (F.col("kind") == "prose") & F.col("earlier.prose") & F.col("earlier.open"), F.lit(False))
-    chained = _before(body, F.when(~goes_on, F.col("ord")), "start", True)
-    own = chained.drop("earlier").unionByName(notes)
-    grouped = own.groupBy("file", "start").agg(
-        F.min("page_no").alias("page_no"), F.max("page_no").alias("end_page"), F.min_by("kind", "ord").alias("kind"), F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("own")
-    )
+                body.append(len(done))
+                done.append([idx, k, page, page, kind, [value], runs])
+        out = []
+        file, block = (rows[0][6], rows[0][7]) if rows else (None, None)
+        ends = {body[0]: 0, body[-1]: 1 if len(body) > 1 else 0} if body else {}
+        for i, (idx, k, page, end, kind, texts, runs) in enumerate(done):
+            edge = (block, ends[i], runs and i == body[0], kind == "prose" and not CLOSED.search(texts[-1])) if i in ends else (None,) * 4
+            out.append((file, idx, k, page, end, kind, joined_text(decoder, texts), *edge))
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_())
+        names = [f.split()[0] for f in f"{OUT}, {EDGE}".split(", ")]
+        columns = list(zip(*out)) if out else [()] * len(kinds)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+    return left.groupBy("file", "block").cogroup(right.groupBy("file", "block")).applyInArrow(run, f"{OUT}, {EDGE}")
+
+
+def join_blocks(parts: DataFrame, lexicon: dict[str, float]) -> DataFrame:
+    """The paragraphs of all blocks, those that run over block ends joined. ``parts`` is read twice: give it as a table."""
+    along = Window.partitionBy("file").orderBy("block", "side")
+    edges = parts.filter("block IS NOT NULL").withColumn("goes_on", F.col("goes_on") & F.coalesce(F.lag("ends_open").over(along), F.lit(False)))
+    chain = F.last(F.when(~F.col("goes_on"), F.struct("block", "side")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    grouped = edges.withColumn("chain", chain).groupBy("file", "chain").agg(
+        F.min_by(F.struct("start_idx", "start_part", "kind"), F.struct("block", "side")).alias("first"), F.min("page_no").alias("page_no"), F.max("end_page").alias("end_page"),
+        F.array_sort(F.collect_list(F.struct("block", "side", "text"))).alias("own"),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = S.Decoder(lexicon)
+        decoder = S.shared_decoder(lexicon)
+        names = ["file", "start_idx", "start_part", "page_no", "end_page", "kind"]
         for batch in batches:
-            texts = []
-            for own in batch.column("own").to_pylist():
-                text = own[0]["text"]
-                for x in own[1:]:
-                    half = re.search(rf"([^\W\d_]+)[{S.HYPHENS}]\Z", text)
-                    rest = S.core_of(x["text"].split(None, 1)[0])
-                    if half and decoder.decode((half.group(1).lower(), rest), ("h",))[1][0]:
-                        text = text[:-1] + x["text"]
-                    else:
-                        text += ("" if half else " ") + x["text"]
-                texts.append(text)
-            names = ["file", "start", "page_no", "end_page", "kind"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], names=["file", "start_ord", "page_no", "end_page", "kind", "text"])
-
-    return grouped.mapInArrow(run, "file string, start_ord bigint, page_no int, end_page int, kind string, text string")
+            texts = [joined_text(decoder, [x["text"] for x in own]) for own in batch.column("own").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, "text"])
+
+    over = grouped.select("file", "first.start_idx", "first.start_part", "page_no", "end_page", "first.kind", "own").mapInArrow(run, OUT)
+    return parts.filter("block IS NULL").select(*over.columns).unionByName(over)
 
 
 def p1_paragraphs(spark: SparkSession, directory: str) -> DataFrame:
-    """All paragraphs of all files; order within a file by ``start_ord``."""
-    items = table(spark, directory, "extracted_items").dropDuplicates(["item_id"])
+    """All paragraphs of all files; order within a file by ``start_idx`` and ``start_part``."""
+    items = table(spark, directory, "extracted_items")
     counted = cut_lineage(S.count_corpus(items))
     lexicon = S.learn_lexicon(counted, table(spark, directory, "wordlist"))
-    looks = S.detect(items, lexicon).filter("kind = 'header'").select("item_id", "file", F.regexp_replace("key", "^[#=]", "").alias("key"))
     headers = counted.filter("kind = 'h' and n > 0").select("file", "key")
-    keys = looks.distinct().join(headers, ["file", "key"]).groupBy("item_id").agg(F.collect_set("key").alias("keys"))
-    parts = cut_lineage(segments(items.join(keys, "item_id", "left"), lexicon))
-    return join_seams(parts, lexicon)
+    keys = S.header_looks(items).join(headers, ["file", "key"], "left_semi")
+    return join_blocks(cut_lineage(blocks(items, keys, lexicon)), lexicon)

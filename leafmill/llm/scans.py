@@ -1,11 +1,13 @@
 """Problem 1: noise in the text of scanned pages.
 
 Words are decoded jointly over the de-lined character stream. A stream is cut into atoms at blanks,
-line ends and hyphens; the cheapest path over the atoms may join them (a hyphen or a line end inside
-a word, a word torn apart), split one (two words grown together), and read a word through
-confusions of misread characters. Known words are cheap, unknown ones cost by their length. Only
-atoms around something unknown are decoded, and each distinct stretch once per worker, since most
-text is plain.
+line ends and hyphens; the cheapest path over the atoms may join any number of them (a hyphen or a
+line end inside a word, a word torn apart), split one (words grown together), and read a word through
+confusions of misread characters. Known words are cheap, unknown ones cost by their length. A
+stretch that is decoded reaches from the first to the last atom around something unknown or a hyphen
+at a line end; tokens that can be no part of any noise are looked up once per worker, since most text
+is plain. Readings are searched in a tree of the known words, character by character, so neither the
+length of a token nor the number of its possible forms needs a limit.
 
 The known words are counted over the whole corpus, together with the given word list. A word of
 the corpus is known from a fixed share of all words on (``KNOWN_SHARE``), so the lexicon that every
@@ -56,12 +58,12 @@ BLANK_LINE = re.compile(r"\n[ \t]*\n")
 INNER = re.compile(rf"[{HYPHENS}]")
 ROMAN = re.compile(r"m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
 PAGE_NUMBER = re.compile(r"\W*(?:(?:p|pp|page)\b\.?\s*)?(\d{1,4}|[ivxl]{1,7})[\s.\])\-–—]*", re.I)
-ISOLATED = re.compile(r"(?:\A|\n)[ \t]*\n([^\n]{1,90})\n[ \t]*(?:\n|\Z)")
+ISOLATED = re.compile(r"(?:\A|\n)[ \t]*\n([^\n]+)(?=\n[ \t]*(?:\n|\Z))")
 # numbers in a form that only pages have
 INLINE_NUMBER = re.compile(r"(?<=\s)(?:p\. (\d{1,4})|Page (\d{1,4})|- (\d{1,4}) -|\[(\d{1,4})\])(?=\s)")
 TWO_CAPITALS = re.compile(r"[A-Z]{2}|[A-Z] +[A-Z] ")
 CAPITALS = re.compile(r"(?:\d{1,4}[ \t]+)?(?:[A-Z][A-Z0-9'’|!]*(?:[ \t]+|(?=\n|\Z))){2,}(?:\d{1,4}\b)?|(?:\d{1,4}[ \t]+)?(?:[A-Z'’][ \t]+){4,}[A-Z](?:[ \t]+\d{1,4}\b)?")
-BULLET_TITLE = re.compile(r"\d{1,4} • [A-Z][^\n•]{3,60}|[A-Z][^\n•.]{3,60} • \d{1,4}")
+BULLET_TITLE = re.compile(r"\d{1,4} • [A-Z][^\n•]{3,}|[A-Z][^\n•.]{3,} • \d{1,4}")
 TITLE_RUN = re.compile(r"\b[A-Z][a-z'’]*(?:[ \t]+(?:of|for|and|the))*(?:[ \t]+[A-Z][a-z'’]*(?:[ \t]+(?:of|for|and|the))*)*[ \t]+[A-Z][a-z'’]+")
 
 
@@ -84,7 +86,9 @@ def header_key(text: str) -> str:
 
 def broken_words(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, left half, right half) of everything around a hyphen before a blank or line end."""
-    out = []
+    out: list[tuple[int, int, str, str]] = []
+    if not any(h in text for h in HYPHENS):
+        return out
     for m in BREAK.finditer(text):
         at = m.start()
         start = max(text.rfind(" ", 0, at), text.rfind("\n", 0, at)) + 1
@@ -127,8 +131,9 @@ def core_of(token: str) -> str:
     return core[:-2] if core.endswith(("'s", "’s")) else core
 
 
-ATOM = re.compile(rf"[^{HYPHENS}\s]+")
+ATOM = re.compile(rf"[^{HYPHENS}\s—–/]+")
 AROUND = 2  # atoms beside an unknown one that are decoded with it
+INSIDE = {"h": 0.5, "-": 3.0, "n": 6.0, "s": 7.0}  # what a seam inside a word costs
 
 
 class Decoder:
@@ -136,76 +141,135 @@ class Decoder:
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
-        self.plain: set[str] = set()  # tokens already judged to be no noise
+        self.fine: set[str] = set()  # tokens that are no part of any noise, whatever stands beside them
         self.start: dict[str, list[tuple[str, str]]] = defaultdict(list)
         for read, printed in CONFUSIONS:
             self.start[read[0]].append((read, printed))
+        self.tree: dict = {}
+        self.by_size: dict[int, float] = {}
+        for w, cost in lexicon.items():
+            self.learn(w, cost)
+            self.by_size[len(w)] = min(self.by_size.get(len(w), math.inf), cost)
+        self.reach = 2 * max(self.by_size, default=0)  # a confusion takes one character away at most, and half of them are read as they stand
+        self.every = "\n".join(lexicon)
         self.word = lru_cache(maxsize=400_000)(self.read_word)
         self.decode = lru_cache(maxsize=200_000)(self._decode)
         self.judge = lru_cache(maxsize=1_000_000)(self._judge)
         self.alone = lru_cache(maxsize=1_000_000)(self._alone)
-        self.every = "\n".join(lexicon)
-        by_size: dict[int, float] = {}
-        for w, cost in lexicon.items():
-            by_size[len(w)] = min(by_size.get(len(w), math.inf), cost)
-        # of the words that so many characters can be read as: a confusion changes the length by one at most
-        self.least = [min(by_size.get(k, math.inf) for k in range(n - MOST_OPERATIONS, n + MOST_OPERATIONS + 1)) for n in range(31)]
+        self.atom = lru_cache(maxsize=1_000_000)(self._atom)
+        self.segments = lru_cache(maxsize=400_000)(self._segments)
+        self.least = lru_cache(maxsize=4096)(self._least)
+
+    def learn(self, word: str, cost: float) -> None:
+        node = self.tree
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = self.lexicon[word] = cost
+
+    def forget(self, word: str) -> float:
+        node = self.tree
+        for c in word:
+            node = node[c]
+        del node[""]
+        return self.lexicon.pop(word)
+
+    @staticmethod
+    def operations(n: int) -> int:
+        """How many confusions a token of n characters may hold: one if it is short, else three or half of it."""
+        return 1 if n <= 3 else max(MOST_OPERATIONS, n // 2)
+
+    def _least(self, n: int) -> float:
+        """Of the words that n characters can be read as: a confusion changes the length by one at most."""
+        most = self.operations(n)
+        return min((self.by_size.get(k, math.inf) for k in range(n - most, n + most + 1)), default=math.inf)
 
     def read_word(self, token: str) -> tuple[float, str, int]:
         """(cost, reading, confusions) of one word; the fewest confusions first, then the commonest word."""
         known = self.lexicon.get(token)
         if known is not None:
             return known, token, 0
-        if len(token) < 2 or len(token) > 30:
-            return 8.0 + len(token), token, 0
-        layer = {token: 0}
-        for operations in range(1, MOST_OPERATIONS + 1):
-            grown: dict[str, int] = {}
+        n = len(token)
+        most = self.operations(n)
+        layer: dict[tuple[int, int], tuple[int, dict, str]] = {(0, 0): (0, self.tree, "")} if n > 1 else {}
+        for operations in range(most + 1):
+            grown: dict[tuple[int, int], tuple[int, dict, str]] = {}
             best: tuple[float, str] | None = None
-            for form, since in layer.items():
-                for at in range(since, len(form)):
-                    for read, printed in self.start.get(form[at], ()):
-                        if form.startswith(read, at):
-                            new = form[:at] + printed + form[at + len(read) :]
-                            cost = self.lexicon.get(new)
-                            if cost is not None and (best is None or cost < best[0]) and (len(new) > 3 or operations == 1):
-                                best = (cost, new)
-                            grown[new] = min(grown.get(new, 99), at + len(printed))
+            for at, node, done in layer.values():
+                while node is not None:  # as the characters stand, and at each place through one confusion more
+                    if at == n:
+                        if "" in node and (len(done) > 3 or operations == 1):
+                            best = min(best, (node[""], done)) if best else (node[""], done)
+                        break
+                    if operations < most:
+                        for read, printed in self.start.get(token[at], ()):
+                            if token.startswith(read, at):
+                                follow = node
+                                for c in printed:
+                                    follow = follow.get(c)
+                                    if follow is None:
+                                        break
+                                else:
+                                    grown[at + len(read), id(follow)] = (at + len(read), follow, done + printed)
+                    done += token[at]
+                    node = node.get(token[at])
+                    at += 1
             if best:
                 return best[0] + 3.0 * operations, best[1], operations
-            # beyond one operation only forms without a character that cannot stay, or few of them, go on
-            layer = grown if len(token) > 3 else {}
-            if len(layer) > 400:
-                hard = min(sum(c in HARD for c in f) for f in layer)
-                layer = {f: s for f, s in layer.items() if sum(c in HARD for c in f) == hard}
-        return 8.0 + len(token), token, 0
+            layer = grown
+        return 8.0 + n, token, 0
+
+    def _segments(self, atom: str) -> tuple[float, str] | None:
+        """(cost, words) of the cheapest way to read an atom as two or more known words of two letters or more; None without one."""
+        n = len(atom)
+        if n <= 5:
+            return None
+        best: list[tuple[float, int] | None] = [(0.0, 0)] + [None] * n
+        for i in range(n - 1):
+            if best[i] is None:
+                continue
+            node = self.tree
+            for k in range(i, n):
+                node = node.get(atom[k])
+                if node is None:
+                    break
+                if "" in node and k > i and (i or k + 1 < n):
+                    cost = best[i][0] + node[""] + (7.0 if i else 0.0)
+                    if best[k + 1] is None or cost < best[k + 1][0]:
+                        best[k + 1] = (cost, i)
+        if best[n] is None:
+            return None
+        words, at = [], n
+        while at:
+            words.append(atom[best[at][1] : at])
+            at = best[at][1]
+        return best[n][0], " ".join(reversed(words))
 
     def _decode(self, atoms: tuple[str, ...], seams: tuple[str, ...]) -> tuple[tuple[str, ...], tuple[bool, ...], int]:
         """The cheapest words over the atoms: (words, whether each seam is inside a word, confusions).
 
         Seams: ``h`` a hyphen at a line end or blank, ``-`` a hyphen within a line, ``n`` a line end, ``s`` a blank.
         """
-        inside = {"h": 0.5, "-": 3.0, "n": 6.0, "s": 7.0}
         n = len(atoms)
         best: list[tuple[float, int, str, int]] = [(0.0, 0, "", 0)] + [(math.inf, 0, "", 0)] * n
         for j in range(n):
             joined, paid = "", 0.0
-            for k in range(j + 1, min(j + 4, n + 1)):
+            for k in range(j + 1, n + 1):
                 joined += atoms[k - 1]
                 if k - 1 > j:
-                    paid += inside[seams[k - 2]]
+                    if len(joined) > self.reach and k - 2 > j:
+                        break
+                    paid += INSIDE[seams[k - 2]]
                     if joined not in self.lexicon and any(x in "ns" for x in seams[j : k - 1]):
                         # through a blank or line end a misread letter must be sure, and the word be cheaper than its atoms
-                        if len(joined) > 30 or not any(c in HARD for c in joined):
+                        if HARD.isdisjoint(joined):
                             continue
-                        if self.least[len(joined)] + 3.0 + paid > sum(self.word(a)[0] for a in atoms[j:k]) + 3.0 * sum(x in "h-" for x in seams[j:k]):
+                        if self.least(len(joined)) + 3.0 + paid > sum(self.word(a)[0] for a in atoms[j:k]) + 3.0 * sum(x in "h-" for x in seams[j:k]):
                             continue
                 cost, reading, operations = self.word(joined)
-                if operations == 0 and joined not in self.lexicon and len(joined) > 5 and k == j + 1:
-                    for at in range(2, len(joined) - 1):  # two words grown together
-                        a, b = self.lexicon.get(joined[:at]), self.lexicon.get(joined[at:])
-                        if a is not None and b is not None and a + b + 7 < cost:
-                            cost, reading = a + b + 7, f"{joined[:at]} {joined[at:]}"
+                if operations == 0 and k == j + 1 and joined not in self.lexicon:
+                    grown = self.segments(joined)  # words grown together
+                    if grown and grown[0] + 7 < cost:
+                        cost, reading = grown[0] + 7, grown[1]
                 compound = 0.0
                 if j and seams[j - 1] in "h-":
                     compound = 1.0 if f"{best[j][2]}-{joined}" in self.lexicon else 3.0
@@ -227,9 +291,6 @@ class Decoder:
             k = j
         return tuple(reversed(words)), tuple(i + 1 not in cuts for i in range(n - 1)), operations
 
-    def splits(self, low: str) -> bool:
-        return len(low) > 5 and any(low[:at] in self.lexicon and low[at:] in self.lexicon for at in range(2, len(low) - 1))
-
     def _alone(self, token: str) -> bool:
         """Whether a blank-free token is sure to be no part of a joined word and no two words grown together."""
         low = core_of(token)
@@ -237,7 +298,7 @@ class Decoder:
             return all(p in self.lexicon for p in INNER.split(low.strip(HYPHENS))) and len(INNER.findall(low)) < 2 and self.judge(token) != "broken"
         if low in self.lexicon or self.judge(low) == "ok":
             return True
-        return not any(c in HARD for c in low) and low not in self.every and not self.splits(low)
+        return HARD.isdisjoint(low) and low not in self.every and self.segments(low) is None
 
     def settled(self, atoms: list[str], seams: list[str | None]) -> bool:
         """Whether ``decode`` is sure to give no word that ``_joined`` takes: looked up, without trying confusions.
@@ -245,24 +306,46 @@ class Decoder:
         A word over several atoms that is read through confusions costs at least one of them, its
         seams and the commonest word of about its length; where the atoms by themselves cost less, it is not the cheapest path.
         """
-        inside = {"h": 0.5, "-": 3.0, "n": 6.0, "s": 7.0}
         for j, atom in enumerate(atoms):
-            if atom not in self.lexicon and self.splits(atom):
+            if atom not in self.lexicon and self.segments(atom):
                 return False
             whole, paid, compound = atom, 0.0, 0.0
-            for k in range(j + 1, min(j + 4, len(atoms))):
+            for k in range(j + 1, len(atoms)):
                 seam = seams[k - 1]
-                whole, paid, compound = whole + atoms[k], paid + inside[seam], compound + 3.0 * (seam in "h-")
+                whole, paid, compound = whole + atoms[k], paid + INSIDE[seam], compound + 3.0 * (seam in "h-")
                 if whole in self.lexicon:
                     return False
+                if len(whole) > self.reach:
+                    break
                 through = all(x in "h-" for x in seams[j:k])
-                if len(whole) <= 30 and ((through and k - j > 1) or (not through and any(c in HARD for c in whole))):
+                if through or not HARD.isdisjoint(whole):
                     single = sum(self.word(a)[0] for a in atoms[j : k + 1])
                     after = 3.0 * (k < len(seams) and seams[k] in "h-")
-                    if single + compound + after >= self.least[len(whole)] + 3.0 + paid:
+                    if seam == "h" and through and single + compound + after >= 8.0 + len(whole) + paid:
+                        return False  # a word that is unknown as a whole too
+                    if single + compound + after >= self.least(len(whole)) + 3.0 + paid:
                         return False
         return True
 
+    def _atom(self, atom: str) -> tuple[str, int, str, bool, bool, bool, bool]:
+        """(core in lower case, where it begins, the core, is a word, is unknown, begins the atom, ends it)."""
+        core = atom.strip(EDGE)
+        low = core.lower()
+        if low.endswith(("'s", "’s")):
+            core, low = core[:-2], low[:-2]
+        word = bool(low) and all(c.isalpha() or c in HARD for c in low) and any(c.isalpha() for c in low)
+        unknown = word and len(low) > 1 and low not in self.lexicon and self.judge(low) != "ok"
+        return low, atom.index(core) if core else 0, core, word, unknown, atom.startswith(core), atom.endswith(core)
+
+    def suspects(self, text: str) -> set[str]:
+        """The blank-free tokens of a text that are not sure to be plain."""
+        rest = set(text.split()) - self.fine
+        plain = {t for t in rest if t[-1] not in HYPHENS and self.judge(t) in ("ok", "unknown") and self.alone(t)}
+        if len(self.fine) > 2_000_000:
+            self.fine.clear()
+        self.fine |= plain
+        return rest - plain
+
     def _judge(self, token: str) -> str:
         """Of one blank-free token: ``ok``, ``glyph`` (sure), ``soft`` (by plain letters alone), ``stray``, ``unknown``."""
         core = token.strip(EDGE)
@@ -307,12 +390,24 @@ class Decoder:
         if folded != low and folded in self.lexicon:
             return "ok"
         _, reading, operations = self.word(low)
-        if not operations or (len(reading) < 3 and not any(c in HARD for c in low)):
+        if not operations or (len(reading) < 3 and HARD.isdisjoint(low)):
             return "unknown"
-        hard = any(c in HARD for c in low) or any(c == "I" for c in core[1:] if not core.isupper())
+        hard = not HARD.isdisjoint(low) or any(c == "I" for c in core[1:] if not core.isupper())
         return "glyph" if hard else "soft"
 
 
+_decoders: dict[int, Decoder] = {}
+
+
+def shared_decoder(lexicon: dict[str, float]) -> Decoder:
+    """The decoder of a lexicon; a worker that runs several tasks keeps it, with what it has looked up."""
+    key = hash(frozenset(lexicon.items()))
+    if key not in _decoders:
+        _decoders.clear()
+        _decoders[key] = Decoder(lexicon)
+    return _decoders[key]
+
+
 SOFT_BREAK = re.compile(rf" ?[{HYPHENS}]\s+")
 
 
@@ -320,6 +415,8 @@ def _seam(gap: str) -> str | None:
     """The seam that stands for what is between two atoms; None where no word runs through."""
     if any(c in HYPHENS for c in gap):
         return "-" if len(gap) == 1 else "h" if SOFT_BREAK.fullmatch(gap) else None
+    if any(c in "—–/" for c in gap):
+        return None
     lines = gap.count("\n")
     return "s" if not lines else "n" if lines == 1 else None
 
@@ -328,72 +425,69 @@ def stretches(text: str, decoder: Decoder) -> list[tuple[int, int, str, tuple[st
     """(start, end, reading, seams within, confusions) of the words that are joined or split.
 
     The text is cut into atoms at blanks, line ends and hyphens, and every stretch around unknown
-    atoms is decoded at once. Marks between two atoms end a stretch. Only words that come out as
-    known ones count; through blanks and line ends a misread letter must be sure. Two atoms with one
-    hyphen are left to the caller, and single letters beside known words are left alone.
+    atoms and hyphens at line ends is decoded at once. Marks between two atoms end a stretch. Words
+    that come out as known ones count, and unknown ones that a hyphen at a line end divides; through
+    blanks and line ends a misread letter must be sure. Single letters beside known words are left alone.
     """
-    if all(map(decoder.alone, text.split())):
-        return []
-    atoms = [(m.start(), m.end(), m.group()) for m in ATOM.finditer(text)]
-    bare, seams, open_, usable = [], [], [], False
-    for k, (start, end, atom) in enumerate(atoms):
-        core = atom.strip(EDGE)
-        low = core.lower()
-        if low.endswith(("'s", "’s")):
-            core, low = core[:-2], low[:-2]
-        word = bool(low) and all(c.isalpha() or c in HARD for c in low) and any(c.isalpha() for c in low)
-        bare.append((low, start + atom.index(core) if core else start, core))
-        open_.append(word and len(low) > 1 and low not in decoder.lexicon and decoder.judge(low) != "ok")
-        if k:
-            before = atoms[k - 1]
-            close = usable and word and before[2].endswith(bare[k - 1][2]) and atom.startswith(core)
-            seams.append(_seam(text[before[1] : start]) if close else None)
-        usable = word
-    inner = [False] * len(atoms)  # parts of a word with two or more hyphens, or with one that is judged to be broken
-    k = 0
-    while k < len(seams):
-        last = k
-        while last < len(seams) and seams[last] == "-":
-            last += 1
-        if last - k > 1 or (last - k == 1 and decoder.judge(text[atoms[k][0] : atoms[last][1]]) == "broken"):
-            inner[k : last + 1] = [True] * (last + 1 - k)
-        k = last + 1
-    near = [False] * len(atoms)
-    for k in range(len(atoms)):
-        if open_[k] or inner[k]:
-            near[max(0, k - AROUND) : k + AROUND + 1] = [True] * (min(len(atoms), k + AROUND + 1) - max(0, k - AROUND))
-    out, k = [], 0
-    while k < len(atoms):
-        if not near[k]:
-            k += 1
+    atoms = [(m.start(), m.end(), decoder.atom(m.group())) for m in ATOM.finditer(text)]
+    known: dict[int, str | None] = {}
+
+    def seam(k: int) -> str | None:
+        if k not in known:
+            (_, end, a), (start, _, b) = atoms[k], atoms[k + 1]
+            known[k] = _seam(text[end:start]) if a[3] and b[3] and a[6] and b[5] else None
+        return known[k]
+
+    centres = {k for k, a in enumerate(atoms) if a[2][4]}
+    if any(h in text for h in HYPHENS):  # beside a hyphen at a line end, in a word with two or more hyphens, or in one that is judged to be broken
+        k = 0
+        while k < len(atoms) - 1:
+            last = k
+            if text[atoms[k][1]] != " " or atoms[k + 1][0] - atoms[k][1] > 1:
+                if seam(k) == "h":
+                    centres |= {k, k + 1}
+                while last < len(atoms) - 1 and seam(last) == "-":
+                    last += 1
+                if last - k > 1 or (last - k == 1 and decoder.judge(text[atoms[k][0] : atoms[last][1]]) == "broken"):
+                    centres |= set(range(k, last + 1))
+            k = max(last, k + 1)
+    out, done = [], -1
+    for centre in sorted(centres):
+        if centre <= done:
             continue
-        last = k
-        while last + 1 < len(atoms) and near[last + 1] and seams[last]:
+        first = last = centre
+        while first > 0 and centre - first < AROUND and seam(first - 1):
+            first -= 1
+        reach = centre
+        while last < len(atoms) - 1 and last < reach + AROUND and seam(last):
             last += 1
-        if any(open_[k : last + 1]) or any(inner[k : last + 1]):
-            out += _joined(decoder, bare, seams, k, last)
-        k = last + 1
+            if last in centres:
+                reach = last
+        done = last
+        if last > first or decoder.segments(atoms[centre][2][0]):
+            bare = [(a[2][0], a[0] + a[2][1], a[2][2]) for a in atoms[first : last + 1]]
+            out += _joined(decoder, bare, [seam(k) for k in range(first, last)])
     return out
 
 
-def _joined(decoder: Decoder, bare: list[tuple[str, int, str]], seams: list[str | None], first: int, last: int) -> Iterator[tuple[int, int, str, tuple[str, ...], int]]:
-    atoms = [b[0] for b in bare[first : last + 1]]
-    if decoder.settled(atoms, seams[first:last]):
+def _joined(decoder: Decoder, bare: list[tuple[str, int, str]], seams: list[str]) -> Iterator[tuple[int, int, str, tuple[str, ...], int]]:
+    atoms = [b[0] for b in bare]
+    if decoder.settled(atoms, seams):
         return
-    words, joins, _ = decoder.decode(tuple(atoms), tuple(seams[first:last]))
-    at = first
+    words, joins, _ = decoder.decode(tuple(atoms), tuple(seams))
+    at, last = 0, len(bare) - 1
     for reading in words:
         end = at + reading.count("-")
-        while end < last and joins[end - first]:
+        while end < last and joins[end]:
             end += 1
         within = tuple(seams[at:end])
         start, stop = bare[at][1], bare[end][1] + len(bare[end][2])
         if " " in reading:
             yield start, stop, reading, (), 0
-        elif end > at and "-" not in reading and reading in decoder.lexicon:
+        elif end > at and "-" not in reading and (reading in decoder.lexicon or set(within) == {"h"}):
             whole = "".join(b[0] for b in bare[at : end + 1])
             operations = decoder.word(whole)[2]
-            if not operations or set(within) <= {"h", "-"} or any(c in HARD for c in whole):
+            if not operations or set(within) <= {"h", "-"} or not HARD.isdisjoint(whole):
                 yield start, stop, reading, within, operations
         at = end + 1
 
@@ -404,17 +498,16 @@ def same_case(old: str, new: str) -> str:
     return new[:1].upper() + new[1:] if old[:1].isupper() else new
 
 
-def redone(decoder: Decoder, text: str, solid: bool = True) -> tuple[str, list[tuple[tuple[str, ...], int, str]]]:
+def redone(decoder: Decoder, text: str) -> tuple[str, list[tuple[tuple[str, ...], int, str]]]:
     """The text with joined and split words; (seams, confusions, what stood there) of each.
 
-    A line end inside a word stands behind it then. ``solid``: also words with one seam, a hyphen.
+    A line end inside a word stands behind it then.
     """
     parts, at, done = [], 0, []
     for start, end, reading, within, operations in stretches(text, decoder):
-        if within == ("h",) or (within == ("-",) and not solid):
-            continue
         old = text[start:end]
-        parts += [text[at:start], same_case(re.sub(rf"[{HYPHENS}\s]", "", old), reading)]
+        solid = re.sub(rf"[{HYPHENS}\s]", "", old)
+        parts += [text[at:start], solid if within and not operations else same_case(solid, reading)]
         done.append((within, operations, old))
         at = end
         if "\n" in old:
@@ -432,7 +525,7 @@ def words_for_lexicon(text: str) -> list[str]:
 
 
 def _headerlike(text: str) -> bool:
-    return len(text) <= 90 and "\n" not in text.strip() and text.strip()[-1:] not in ".,;:!?\"" and len(header_key(text)) >= 5
+    return "\n" not in text.strip() and text.strip()[-1:] not in ".,;:!?\"" and len(header_key(text)) >= 5
 
 
 def count_corpus(items: DataFrame) -> DataFrame:
@@ -445,7 +538,7 @@ def count_corpus(items: DataFrame) -> DataFrame:
             for item, file, label, text, foot in zip(*(batch.column(n).to_pylist() for n in ("item_id", "file", "label", "text", "footnote_text"))):
                 if text:
                     raw.update(words_for_lexicon(text))
-                    if len(text) <= 90 and text.strip() and _headerlike(text):
+                    if text.strip() and _headerlike(text):
                         seen = headers.setdefault((file, header_key(text)), [0, item, item])
                         seen[0] += plain_label(label) == "pageheader"
                         seen[1], seen[2] = min(seen[1], item), max(seen[2], item)
@@ -484,14 +577,21 @@ def build_lexicon(frequent: dict[str, int], given: set[str], total: int) -> dict
     lexicon |= {w: cost(n) for w, n in plain.items()}
     decoder = Decoder(lexicon)
     for w, n in sorted(plain.items(), key=lambda x: (x[1], x[0])):
-        own = lexicon.pop(w)
+        own = decoder.forget(w)
         _, reading, operations = decoder.read_word(w)
         many = frequent.get(reading, 0)
         if not operations or (many < RARER * n and reading not in given) or operations > 2:
-            lexicon[w] = own
+            decoder.learn(w, own)
     return lexicon
 
 
+def letters_at_end(text: str) -> str:
+    at = len(text)
+    while at and text[at - 1].isalpha():
+        at -= 1
+    return text[at:]
+
+
 def item_noise(decoder: Decoder, text: str, page: int | None, label: str) -> tuple[bool, bool, bool, list[str], str | None]:
     """(hyphen, glyph, clutter, keys that may be running headers, an unproved half word at the end)."""
     hyphen = glyph = clutter = False
@@ -499,57 +599,44 @@ def item_noise(decoder: Decoder, text: str, page: int | None, label: str) -> tup
     judge = decoder.judge
     words = text.rstrip()
     if words[-1:] in HYPHENS:
-        end = re.search(r"([^\W\d_]+) ?\Z", words[-60:-1])
-        if end:
-            half, sign = end.group(1).lower(), words[-1]
+        before = words[:-1].removesuffix(" ")
+        half, sign = letters_at_end(before).lower(), words[-1]
+        if half:
             if sign in "¬­" or (half not in decoder.lexicon and decoder.word(half)[2] == 0 and len(half) > 1):
                 hyphen = True
             else:
                 tail = half
-            words = words[: len(words) - 1 - len(end.group())]
-    spans = broken_words(words)
-    if spans:
+            words = before[: len(before) - len(half)]
+    if decoder.suspects(words):
+        words, done = redone(decoder, words)
+        for within, operations, old in done:  # torn and grown words as such are no kind of noise
+            hyphen |= "h" in within or "-" in within
+            glyph |= operations > 0 and not HARD.isdisjoint(old.lower())
+        spans = broken_words(words)  # hyphens that no stretch goes through, and those of words written with one
         for _, _, left, right in spans:
-            left, right = left.rpartition("—")[2].strip(EDGE + "-").lower(), core_of(re.split("[—–]", right)[0])
+            left, right = re.split("[—–]", left)[-1].strip(EDGE + "-").lower(), core_of(re.split("[—–]", right)[0])
             left = INNER.split(left)[-1] if INNER.search(left) else left
             if not left or not right or not right[0].isalpha() or not left[-1].isalpha():
                 continue
             _, joins, operations = decoder.decode((left, right), ("h",))
             if joins[0]:
                 hyphen = True
-                glyph |= operations > 0 and any(c in HARD for c in left + right)
+                glyph |= operations > 0 and not HARD.isdisjoint(left + right)
             else:
-                kinds = {judge(left), judge(right)}
-                glyph |= "glyph" in kinds
-    joint, done = redone(decoder, words, solid=False)
-    if done:  # words read over more than two atoms, or over blanks and line ends; torn words as such are no kind of noise
-        words = joint
-        for within, operations, old in done:
-            hyphen |= "h" in within or "-" in within
-            glyph |= operations > 0 and any(c in HARD for c in old.lower())
-        spans = broken_words(words)
-    words = without(words, spans)
-    tokens = words.split()
-    first = tokens[0] if tokens and tokens[0][:1].islower() else None
-    for t in set(tokens) - decoder.plain:
-        kind = judge(t)
-        if kind == "unknown":
-            continue
-        if kind == "ok":
-            if len(INNER.findall(t)) > 1:
-                continue
-            if len(decoder.plain) > 1_000_000:
-                decoder.plain.clear()
-            decoder.plain.add(t)
-            continue
-        if kind == "broken":
-            hyphen = True
-        elif kind == "soft":
-            glyph |= t != first or len(core_of(t)) >= 5  # a short first token may be the second half of a broken word
-        elif kind == "stray":
-            glyph |= len(tokens) > 1
-        else:
-            glyph = True
+                glyph |= "glyph" in {judge(left), judge(right)}
+        words = without(words, spans)
+        tokens = words.split()
+        first = tokens[0] if tokens and tokens[0][:1].islower() else None
+        for t in set(tokens) - decoder.fine:
+            kind = judge(t)
+            if kind == "broken":
+                hyphen = True
+            elif kind == "soft":
+                glyph |= t != first or len(core_of(t)) >= 5  # a short first token may be the second half of a broken word
+            elif kind == "stray":
+                glyph |= len(tokens) > 1
+            elif kind == "glyph":
+                glyph = True
     keys: list[str] = []
     if label not in ("pageheader", "pagefooter"):
         clutter, keys = find_clutter(text, page, label)
@@ -570,7 +657,7 @@ def _titled(line: str) -> bool:
 def find_clutter(text: str, page: int | None, label: str) -> tuple[bool, list[str]]:
     """Whether page furniture is proved by its form, and keys of what may be a running header."""
     stripped = text.strip()
-    if len(stripped) <= 12 and is_page_number(stripped) is not None:
+    if is_page_number(stripped) is not None:
         return True, []
     keys: set[str] = set()
     if _headerlike(stripped) and not any(len(w) > 4 and w.islower() for w in stripped.split()):
@@ -588,9 +675,9 @@ def find_clutter(text: str, page: int | None, label: str) -> tuple[bool, list[st
                 keys.add(header_key(line))
         if "\n" in stripped:
             for line in stripped.split("\n"):
-                if 0 < len(line) <= 12 and line[0] in "-[pP0123456789" and is_page_number(line) == page:
+                if line[:1] in "-[pP0123456789" and line and is_page_number(line) == page and page is not None:
                     return True, []
-                if 8 < len(line) <= 60 and line.isupper() and _capitals(line):
+                if len(line) > 8 and line.isupper() and _capitals(line):
                     return True, []
         for m in INLINE_NUMBER.finditer(text):
             if int(next(g for g in m.groups() if g)) == page:
@@ -609,7 +696,7 @@ def find_clutter(text: str, page: int | None, label: str) -> tuple[bool, list[st
         if "•" in text:
             for m in BULLET_TITLE.finditer(text):
                 words = m.group().split()
-                keys |= {header_key(" ".join(words[:k])) for k in range(3, min(len(words), 10) + 1)}
+                keys |= {header_key(" ".join(words[:k])) for k in range(3, len(words) + 1)}
     return False, sorted(k for k in keys if len(k.lstrip("#=")) >= 5)
 
 
@@ -617,7 +704,7 @@ def detect(items: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     """(item_id, kind, file, idx, key): proved noise, and candidates for the joins that prove the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(lexicon)
+        decoder = shared_decoder(lexicon)
         for batch in batches:
             out: list[tuple] = []
             names = ("item_id", "file", "idx", "page_no", "label", "text", "footnote_text")
@@ -649,22 +736,47 @@ def detect(items: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     return items.select("item_id", "file", "idx", "page_no", "label", "text", "footnote_text").mapInArrow(run, "item_id bigint, kind string, file string, idx int, key string")
 
 
+def header_looks(items: DataFrame) -> DataFrame:
+    """(item_id, file, idx, key): what may be a running header in each item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = set()
+            for item, file, idx, page, label, text, foot in zip(*(batch.column(n).to_pylist() for n in ("item_id", "file", "idx", "page_no", "label", "text", "footnote_text"))):
+                label = plain_label(label)
+                if text and text.strip() and label not in ("pageheader", "pagefooter"):
+                    out |= {(item, file, idx, k.lstrip("#=")) for k in find_clutter(text, page, label)[1]}
+                if foot and foot.strip():
+                    out |= {(item, file, idx, k.lstrip("#=")) for k in find_clutter(foot, page, "footnote")[1]}
+            columns = list(zip(*out)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int32(), pa.string()))], names=["item_id", "file", "idx", "key"])
+
+    return items.select("item_id", "file", "idx", "page_no", "label", "text", "footnote_text").mapInArrow(run, "item_id bigint, file string, idx int, key string")
+
+
 BODY = frozenset({"", "text", "paragraph"})
-BUCKET = 16
+BLOCK = 2048
 
 
 def _continued(candidates: DataFrame, lexicon: dict[str, float]) -> DataFrame:
-    """Items whose last word goes on in the next body item: halves meet by file and bucket of positions."""
-    tails = candidates.filter("kind = 'tail'").select("item_id", "file", F.col("idx").alias("at"), F.col("key").alias("half"))
-    tails = tails.withColumn("bucket", F.explode(F.array(F.floor(F.col("at") / BUCKET), F.floor(F.col("at") / BUCKET) + 1)))
-    heads = candidates.filter("kind = 'head'").select("file", "idx", F.col("key").alias("rest"), F.floor(F.col("idx") / BUCKET).alias("bucket"))
-    next_ = tails.join(heads, ["file", "bucket"]).filter((F.col("idx") > F.col("at")) & (F.col("idx") <= F.col("at") + BUCKET))
-    pairs = next_.groupBy("item_id", "half").agg(F.min_by("rest", "idx").alias("rest"))
+    """Items whose last word goes on in the next body item of their file that begins in lower case.
+
+    Positions are looked through in blocks, with the first such item of the blocks behind carried back.
+    """
+    marks = candidates.filter("kind IN ('tail', 'head')").select(
+        "item_id", "file", "idx", F.when(F.col("kind") == "tail", F.col("key")).alias("half"), F.when(F.col("kind") == "head", F.col("key")).alias("rest"), F.floor(F.col("idx") / BLOCK).alias("block")
+    )
+    behind = Window.partitionBy("file").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+    first = marks.groupBy("file", "block").agg(F.min_by("rest", F.when(F.col("rest").isNotNull(), F.col("idx"))).alias("first"))
+    carried = first.select("file", "block", F.first("first", ignorenulls=True).over(behind).alias("carried"))
+    after = Window.partitionBy("file", "block").orderBy("idx").rangeBetween(1, Window.unboundedFollowing)
+    near = marks.withColumn("near", F.first("rest", ignorenulls=True).over(after)).filter("half IS NOT NULL")
+    pairs = near.join(carried, ["file", "block"]).select("item_id", "half", F.coalesce("near", "carried").alias("rest")).filter("rest IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(lexicon)
+        decoder = shared_decoder(lexicon)
         for batch in batches:
-            kept = [i for i, half, rest in zip(*(batch.column(n).to_pylist() for n in ("item_id", "half", "rest"))) if rest and half + rest in lexicon and decoder.decode((half, rest), ("h",))[1][0]]
+            kept = [i for i, half, rest in zip(*(batch.column(n).to_pylist() for n in ("item_id", "half", "rest"))) if half + rest in lexicon and decoder.decode((half, rest), ("h",))[1][0]]
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], names=["item_id"])
 
     return pairs.mapInArrow(run, "item_id bigint").select("item_id", F.lit("hyphen").alias("noise"))

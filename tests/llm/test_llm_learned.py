@@ -103,11 +103,30 @@ def test_noise_end_to_end(spark):
 def test_paragraphs_over_pages(spark, monkeypatch):
     lexicon = {w: 1.0 for w in WORDS}
     rows = [(1, "f", 1, 1, "text", "the old\ntype-\nsetter stood ins-", None), (2, "f", 2, 1, "page_footer", "1", None), (3, "f", 3, 2, "paragraph", "ide the tunne1.", None), (4, "f", 4, 2, "section_header", "Summer", None), (5, "f", 5, 2, None, "Old and small.", None)]
-    frame = items(spark, rows).selectExpr("*", "CAST(NULL AS array<string>) AS keys")
-    for block in (1, 2048):
+    lexicon["inside"] = 1.0
+    none = spark.createDataFrame([], "item_id bigint, file string, idx int, key string")
+    for block in (1, 2, 3, 2048):
         monkeypatch.setattr(paragraphs, "BLOCK", block)
-        got = paragraphs.join_seams(paragraphs.segments(frame, lexicon | {"inside": 1.0}), lexicon | {"inside": 1.0}).orderBy("start_ord").collect()
+        parts = paragraphs.blocks(items(spark, rows + rows[2:3]), none, lexicon)
+        got = paragraphs.join_blocks(parts, lexicon).orderBy("start_idx", "start_part").collect()
         assert [r["text"] for r in got] == ["the old typesetter stood inside the tunnel.", "Summer", "Old and small."]
+        assert (got[0]["page_no"], got[0]["end_page"]) == (1, 2)
+    assert paragraphs.join_blocks(paragraphs.blocks(items(spark, []), none, lexicon), lexicon).count() == 0
+
+
+def test_chain_over_many_blocks(spark, monkeypatch):
+    lexicon = {w: 1.0 for w in WORDS}
+    rows = [(i, "f", i, 1 + i, "text", "and the old lantern stood near", None) for i in range(9)] + [(9, "f", 9, 3, "footnote", "1. a note", None), (10, "g", 0, 1, "text", "near the end", None)]
+    none = spark.createDataFrame([], "item_id bigint, file string, idx int, key string")
+    for block in (1, 2, 4, 2048):
+        monkeypatch.setattr(paragraphs, "BLOCK", block)
+        got = paragraphs.join_blocks(paragraphs.blocks(items(spark, rows), none, lexicon), lexicon).orderBy("file", "start_idx").collect()
+        assert [r["text"] for r in got] == [" ".join(["and the old lantern stood near"] * 9), "1. a note", "near the end"]
+
+
+def test_long_items_are_whole():
+    text = "\n\n".join(f"The old lantern stood near number {k}." for k in range(5000))
+    assert len(paragraphs.paragraphs_of(text)) == 5000
 
 
 def test_labelled_furniture_is_proved(spark):
@@ -115,8 +134,8 @@ def test_labelled_furniture_is_proved(spark):
     prose = "So the lantern of the tunnel stood near the bridge."
     rows = [(1, "f", 1, 3, "page_footer", "3", None), (2, "f", 2, 3, "page_header", "The Meadow of Summer", None), (3, "f", 3, 3, "Page-Footer", prose, None), (4, "f", 4, 3, "page_footer", "2 the old", "2 the old kettle"), (5, "f", 5, 3, "page_footer", "[4] a wanderer stood", None)]
     rows += [(6, "f", 6, 4, "page_header", "THE OLD MEADOW 4", None), (7, "f", 7, 4, "page_footer", "- 4 -", None), (8, "f", 8, 4, "page_header", "4 • The Meadow", None), (9, "f", 9, 4, "page_footer", "S U M M E R   A N D   O L D", None), (10, "f", 10, 4, "page_footer", None, " ")]
-    frame = items(spark, rows).selectExpr("*", "CAST(NULL AS array<string>) AS keys")
-    got = paragraphs.segments(frame, lexicon).orderBy("ord").collect()
+    none = spark.createDataFrame([], "item_id bigint, file string, idx int, key string")
+    got = paragraphs.join_blocks(paragraphs.blocks(items(spark, rows), none, lexicon), lexicon).orderBy("start_idx").collect()
     assert [(r["kind"], r["text"]) for r in got] == [("footnote", prose), ("footnote", "2 the old kettle"), ("footnote", "[4] a wanderer stood")]
 
 
