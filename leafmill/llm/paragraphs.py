@@ -68,7 +68,7 @@ def repair_words(decoder: S.Decoder, text: str) -> str:
     text = "".join([*parts, text[at:]])
     lines = []
     for line in text.split("\n"):
-        repaired = (repair_token(decoder, t) for t in line.split())
+        repaired = (t if t in decoder.fine else repair_token(decoder, t) for t in line.split())
         lines.append(" ".join(t for t in repaired if t is not None))
     return "\n".join(lines)
 
@@ -78,13 +78,15 @@ def without_furniture(text: str, page: int | None, keys: set[str]) -> str:
     kept = []
     for line in text.split("\n"):
         bare = line.strip()
-        alone = bare and (S.header_key(bare) in keys or S._capitals(bare) or (S.is_page_number(bare) is not None and (S.is_page_number(bare) == page or len(bare) > 4)))
-        if not alone:
+        number = S.is_page_number(bare) if bare else None
+        if not bare or not ((keys and S.header_key(bare) in keys) or S._capitals(bare) or (number is not None and (number == page or len(bare) > 4))):
             kept.append(line)
     text = "\n".join(kept)
     if keys:
         for pattern in (S.CAPITALS, S.BULLET_TITLE, S.TITLE_RUN):
             text = pattern.sub(lambda m: " " if S.header_key(m.group()) in keys else m.group(), text)
+    if page is None or str(page) not in text:
+        return text
     return S.INLINE_NUMBER.sub(lambda m: "" if int(next(g for g in m.groups() if g)) == page else m.group(), text)
 
 
@@ -94,6 +96,8 @@ def paragraphs_of(text: str) -> list[tuple[str, str]]:
     Each line has a state for prose and one for verse, with the state of the line before that it came
     from; a paragraph's last line and kind are all that the next step looks at, so the work is linear.
     """
+    if "\n" not in text.strip():
+        return [("prose", text.strip())] if text.strip() else []
     lines = text.split("\n")
     width = max((len(x) for x in lines), default=0)
     rows: list[str] = []

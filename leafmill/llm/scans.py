@@ -598,9 +598,9 @@ def item_noise(decoder: Decoder, text: str, page: int | None, label: str) -> tup
     tail = None
     judge = decoder.judge
     words = text.rstrip()
-    if words[-1:] in HYPHENS:
+    if words and words[-1] in HYPHENS:
         before = words[:-1].removesuffix(" ")
-        half, sign = letters_at_end(before).lower(), words[-1]
+        half, sign = letters_at_end(before).lower(), words[-1:]
         if half:
             if sign in "¬­" or (half not in decoder.lexicon and decoder.word(half)[2] == 0 and len(half) > 1):
                 hyphen = True
@@ -643,8 +643,13 @@ def item_noise(decoder: Decoder, text: str, page: int | None, label: str) -> tup
     return hyphen, glyph, clutter, keys, tail
 
 
+TWO_SMALL = re.compile("[a-z]{2}")
+
+
 def _capitals(line: str) -> bool:
     """A line of two or more words, all in capitals, that is no closing line."""
+    if TWO_SMALL.search(line):
+        return False
     words = re.findall(r"[^\W\d_]{2,}", line)
     return len(words) >= 2 and all(w.isupper() for w in words) and header_key(line) not in ("theend", "finis")
 
