@@ -231,7 +231,7 @@ def test_truncation_on_held_out_cuts(spark):
     rows += [("t", "x", "m", None), ("t", "y", "m", ""), ("t", "z", "m", "  \n")]
     frame = spark.createDataFrame(rows, "source_table string, item_key string, source string, text string")
     evidence = truncation.Evidence(frame)
-    scores = {r["item_key"]: r["score"] for r in truncation.score(frame, evidence, truncation.fit(frame, evidence)).collect()}
+    scores = {r["item_key"]: r["score"] for r in truncation.score(evidence, truncation.fit(frame, evidence)).collect()}
     found = {k for k, v in scores.items() if v >= truncation.THRESHOLD}
     assert len(scores) == 503 and len(found & cut) >= 0.9 * len(cut) and len(found - cut) <= 0.1 * len(cut)
     assert not found & {"x", "y", "z"}
@@ -244,6 +244,30 @@ def test_artificial_cuts_are_inside_sentences():
     assert truncation.artificial_cuts("", 1) == [] and truncation.last_word(None) is None
 
 
+@pytest.mark.parametrize(
+    ("text", "body", "kind", "word"),
+    [
+        ("so it ends. [truncated] \n", "so it ends.", "w", "ends"), ("so it (…) ...", "so it", "w", "it"), ("a lan....", "a lan", "d", "lan"), ("a lan..", "a lan..", "", "lan"), ("x (more)", "x", "w", "x"),
+        ("x (word)", "x (word)", "", "word"), ("in 1784", "in 1784", "", None), ("…", "", "e", None), ("end) " + " " * 50_000, "end)", "", "end"), ("w" + "." * 3 + "!" * 90, "w" + "." * 3 + "!" * 90, "", "w"),
+    ],
+)
+def test_what_stands_behind_a_cut(text, body, kind, word):
+    assert truncation.body_and_mark(text) == (body, kind)
+    assert truncation.last_word(text) == word
+
+
+def test_hot_words_and_lengths_take_the_broadcast(spark, monkeypatch):
+    rows = [("t", str(i), "m", "the same words and the same end here") for i in range(400)] + [("t", f"x{i}", f"s{i % 3}", f"other words number {'abcdef'[i % 6]} end{'xyz'[i % 3]} " + "w" * i) for i in range(90)]
+    frame = spark.createDataFrame(rows, "source_table string, item_key string, source string, text string")
+    evidence = truncation.Evidence(frame)
+    got = {}
+    for share in (1e-5, 10.0):  # with and without hot keys
+        monkeypatch.setattr(truncation, "HOT_SHARE", share)
+        got[share] = sorted((r["item_key"], r["word_level"], r["spike"]) for r in evidence.with_both().collect())
+    assert got[1e-5] == got[10.0] and len(got[10.0]) == 490
+    assert {s for k, _, s in got[10.0] if not k.startswith("x")} == {1}
+
+
 @pytest.mark.parametrize("name", [n for n in sorted(queries.QUERIES)])
 def test_queries_run_on_the_smallest_tables(spark, name):
     got = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
