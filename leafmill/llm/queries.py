@@ -13,6 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_paragraphs": paragraphs.p1_paragraphs,
     "p2_found": repetition.p2_found,
     "p2_shares": repetition.p2_shares,
+    "p2_scores": repetition.p2_scores,
     "p3_found": markup.p3_found,
     "p3_clean": markup.p3_clean,
     "p4_found": split.p4_found,
@@ -28,15 +29,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_shares": spans.p8_shares,
 }
 
+# The places of repeated words: second and later occurrences of runs of four words.
+REPEATED = r"""
+    w AS (SELECT reply_id, regexp_extract_all(lower(coalesce(any_value(markdown_text), '')), '\p{L}+') AS ws FROM transcriptions GROUP BY reply_id),
+    g AS (SELECT reply_id, ws, unnest(range(1, len(ws) - 2)) AS i FROM w WHERE len(ws) >= 4),
+    h AS (SELECT reply_id, i, list_aggregate(ws[i : i + 3], 'string_agg', ' ') AS gram FROM g),
+    r AS (SELECT reply_id, i FROM (SELECT *, min(i) OVER (PARTITION BY reply_id, gram) AS f FROM h) WHERE i > f),
+    c AS (SELECT reply_id, count(*) AS k FROM (SELECT DISTINCT reply_id, i + k AS p FROM (SELECT *, unnest([0, 1, 2, 3]) AS k FROM r)) GROUP BY reply_id),
+    s AS (SELECT w.reply_id, CAST(len(ws) AS BIGINT) AS n_words, CASE WHEN len(ws) = 0 THEN CAST(0 AS DOUBLE) ELSE coalesce(k, 0) / len(ws) END AS share FROM w LEFT JOIN c ON c.reply_id = w.reply_id)"""
+
 ORACLES: dict[str, str] = {
-    "p2_found": r"""
-        WITH w AS (SELECT reply_id, regexp_extract_all(lower(any_value(markdown_text)), '\p{L}+') AS ws FROM transcriptions GROUP BY reply_id),
-        g AS (SELECT reply_id, len(ws) AS n, ws, unnest(range(1, len(ws) - 2)) AS i FROM w WHERE len(ws) >= 4),
-        h AS (SELECT reply_id, n, i, list_aggregate(ws[i : i + 3], 'string_agg', ' ') AS gram FROM g),
-        r AS (SELECT reply_id, n, i FROM (SELECT *, min(i) OVER (PARTITION BY reply_id, gram) AS f FROM h) WHERE i > f),
-        c AS (SELECT DISTINCT reply_id, n, i + k AS p FROM (SELECT *, unnest([0, 1, 2, 3]) AS k FROM r))
-        SELECT reply_id FROM c GROUP BY reply_id, n HAVING count(*) >= 0.4 * n
-    """,
+    "p2_found": f"WITH {REPEATED} SELECT reply_id FROM s WHERE share >= 0.4",
+    "p2_shares": f"WITH {REPEATED} SELECT reply_id, n_words, share FROM s",
     "p4_found": """
         WITH lines AS (SELECT doc_id, line_no, coalesce(any_value(line), '') AS line FROM html_lines GROUP BY doc_id, line_no),
         plans AS (SELECT DISTINCT plan_id, doc_id, output_range[1] AS lo, output_range[2] AS hi FROM chunk_plan WHERE len(output_range) = 2)

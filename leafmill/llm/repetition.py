@@ -1,10 +1,13 @@
 """Problem 2: repetition inside a single document.
 
 Statistics of each document are scored by gradient-boosted trees, trained here on a bounded
-sample (``SAMPLE`` documents in the order of a hash of their key, labelled by the exact measure)
-and flattened into node arrays that numpy walks for a whole batch at once. Features that can
-only speak for repetition are constrained to raise the score. The documents whose score reaches
-``CANDIDATE`` are measured exactly.
+sample (about ``SAMPLE`` documents by a hash of their key, each also with made repetitions, all
+labelled by the exact measure) and flattened into node arrays that numpy walks for a whole batch at
+once. Features that can only speak for repetition are constrained to raise the score. The trees
+decide: a document is repetitive from the score ``DECIDES`` on. Only those documents are measured
+exactly, which can take a row away but never add one.
+
+No text is shuffled: repeated rows are dropped from the small results.
 
 The exact measure: a word (a run of letters, case ignored) is repeated if it lies in a second or
 later occurrence of a run of four or more words of its document; the share is repeated words over
@@ -28,7 +31,7 @@ from leafmill.llm.common import table
 
 SAMPLE = 3000
 SHARE = 0.4
-CANDIDATE = 0.05
+DECIDES = 0.5
 RUN = 4
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -171,22 +174,41 @@ def train_trees(
     return Trees(np.array(feature), np.array(threshold), np.array(left), np.array(right), np.array(value), np.array(roots), depth, base)
 
 
+def made_repetitions(text: str, seed: int) -> list[str]:
+    """The text with a phrase of its own said over and over at some place, once a little and once often."""
+    draw = np.random.default_rng(seed & 0x7FFFFFFF)
+    words = text.split(" ")
+    out = []
+    for most in (0.3, 3.0):
+        size = int(draw.integers(3, 40))
+        start = int(draw.integers(0, max(1, len(words) - size)))
+        times = max(1, int(draw.random() * most * len(words) / size))
+        at = int(draw.integers(0, len(words) + 1))
+        out.append(" ".join([*words[:at], *(words[start : start + size] * times), *words[at:]]))
+    return out
+
+
 def fit(frame: DataFrame, key: str, text: str, sample: int = SAMPLE) -> Trees:
-    """Trees from at most ``sample`` rows; their statistics alone come to the driver."""
+    """Trees from about ``sample`` rows; their statistics alone come to the driver, three rows for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            rows = [[*statistics(t), repeated_share(words_of(t))] for t in texts]
+            rows = []
+            for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                every = [t, *made_repetitions(t, h)] if t and t.strip() else [t]
+                rows += [[float(h), *statistics(x), repeated_share(words_of(x))] for x in every]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], names=["row"])
 
-    chosen = frame.select(F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{key}`")).alias("h")).orderBy("h").limit(sample).select("text")
-    rows = np.array([r["row"] for r in chosen.mapInArrow(run, "row array<double>").collect()], float).reshape(-1, len(FEATURES) + 1)
-    return train_trees(rows[:, :-1], (rows[:, -1] >= SHARE).astype(float), [s for _, s in FEATURES])
+    share = sample / max(frame.count(), 1)
+    keyed = frame.select(F.xxhash64(F.col(f"`{key}`")).alias("h"), F.col(f"`{text}`").alias("text"))
+    chosen = keyed.filter(F.pmod("h", F.lit(1_000_000)) < F.lit(share * 1_000_000))
+    rows = sorted({tuple(r["row"]) for r in chosen.mapInArrow(run, "row array<double>").collect()})
+    table_ = np.array(rows, float).reshape(-1, len(FEATURES) + 2)[:, 1:]
+    return train_trees(table_[:, :-1], (table_[:, -1] >= SHARE).astype(float), [s for _, s in FEATURES])
 
 
-def measure(frame: DataFrame, key: str, text: str, trees: Trees, candidate: float = CANDIDATE) -> DataFrame:
-    """(key, n_words, score, share): the share exactly from the score ``candidate`` on, else null."""
+def measure(frame: DataFrame, key: str, text: str, trees: Trees, decides: float = DECIDES) -> DataFrame:
+    """(key, n_words, score, share) of each row: the share exactly from the score ``decides`` on, else null."""
     source = frame.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     kind = source.schema["key"].dataType.simpleString()
 
@@ -195,7 +217,7 @@ def measure(frame: DataFrame, key: str, text: str, trees: Trees, candidate: floa
             texts = batch.column(1).to_pylist()
             scores = trees.score(np.array([statistics(t) for t in texts]).reshape(-1, len(FEATURES)))
             words = [words_of(t) for t in texts]
-            shares = [repeated_share(w) if s >= candidate else None for w, s in zip(words, scores)]
+            shares = [repeated_share(w) if s >= decides else None for w, s in zip(words, scores)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())],
                 names=["key", "n_words", "score", "share"],
@@ -205,15 +227,27 @@ def measure(frame: DataFrame, key: str, text: str, trees: Trees, candidate: floa
 
 
 def _replies(spark: SparkSession, directory: str) -> DataFrame:
-    return table(spark, directory, "transcriptions").select("reply_id", "markdown_text").dropDuplicates(["reply_id"])
+    return table(spark, directory, "transcriptions").select("reply_id", "markdown_text")
 
 
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Replies that the trees call repetitive and the exact measure confirms."""
     replies = _replies(spark, directory)
-    return measure(replies, "reply_id", "markdown_text", fit(replies, "reply_id", "markdown_text")).filter(F.col("share") >= SHARE).select(F.col("key").alias("reply_id"))
+    return measure(replies, "reply_id", "markdown_text", fit(replies, "reply_id", "markdown_text")).filter(F.col("share") >= SHARE).select(F.col("key").alias("reply_id")).distinct()
 
 
 def p2_shares(spark: SparkSession, directory: str) -> DataFrame:
-    """Every reply's exact share of repeated words, and the trees' score."""
+    """Every reply's number of words and exact share of repeated ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([repeated_share(w) for w in words], pa.float64())], names=["reply_id", "n_words", "share"])
+
+    return _replies(spark, directory).mapInArrow(run, "reply_id bigint, n_words bigint, share double").dropDuplicates(["reply_id"])
+
+
+def p2_scores(spark: SparkSession, directory: str) -> DataFrame:
+    """Every reply's score by the trees."""
     replies = _replies(spark, directory)
-    return measure(replies, "reply_id", "markdown_text", fit(replies, "reply_id", "markdown_text"), candidate=0.0).withColumnRenamed("key", "reply_id")
+    return measure(replies, "reply_id", "markdown_text", fit(replies, "reply_id", "markdown_text")).select(F.col("key").alias("reply_id"), "score").dropDuplicates(["reply_id"])

@@ -169,6 +169,14 @@ def test_trees_are_monotonic_and_accurate():
     assert repetition.train_trees(np.empty((0, 3)), np.empty(0), [1, 0, 0]).score(x[:2]).shape == (2,)
 
 
+def test_trees_learn_without_a_positive_in_the_sample(spark):
+    word = lambda i: "".join(chr(97 + (i * 7919 // 26**k) % 26) for k in range(4))
+    rows = [(i, " ".join(word(i * 61 + k) for k in range(80))) for i in range(150)]
+    trees = repetition.fit(spark.createDataFrame(rows, "id bigint, t string"), "id", "t")
+    loop = rows[0][1] + " and so it goes on" * 40
+    assert trees.score(np.array([repetition.statistics(t) for t in (rows[3][1], loop)])).round().tolist() == [0, 1]
+
+
 def test_repetition_query_keeps_all(spark):
     rows = [(i, "one two three four " * 10 if i % 4 == 0 else " ".join(f"w{chr(97 + (i * k) % 26)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))) for i in range(200)] + [(900, None), (901, "")]
     frame = spark.createDataFrame(rows, "id bigint, t string")
