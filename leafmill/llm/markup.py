@@ -1,20 +1,23 @@
 """Problem 3: markup residue in text documents.
 
 Labelling is a minimum cut. The nodes are the candidates of a text: everything that is written
-like markup, look-alikes included (prices, comparisons, paths, bracketed numbers). A classifier's
-cost of calling a candidate content or markup is the capacity to the one or the other terminal.
-Smoothness edges join candidates that are next to each other on a line or on adjacent lines
-(adjacency) and those that open and close one element or row of one table (DOM proximity), so an
-uncertain sign follows its sure partner. What the maximal flow leaves on the source's side is
-markup. The classifier is trained on texts made here: plain lines of a bounded sample of the
-corpus (``SAMPLE`` texts) with constructs and look-alikes set into them, whose labels are known.
+like markup, look-alikes included (prices, comparisons, paths, bracketed numbers, names in angle
+brackets). A classifier's cost of calling a candidate content or markup is the capacity to the one
+or the other terminal. It sees the sign and what stands inside and around it, not which of the
+patterns found it, and not its neighbours: these speak through the smoothness edges. Edges join
+candidates that are next to each other on a line or on adjacent lines (adjacency), those that open
+and close one element, and an element's tag with the one it stands in (DOM proximity), so an
+uncertain sign follows its sure partner: an unknown name in angle brackets is content by itself and
+markup where it is closed. What the maximal flow leaves on the source's side is markup; nothing else
+decides. The classifier is trained on texts made here: plain lines of a bounded sample of the
+corpus (about ``SAMPLE`` texts) with constructs and look-alikes set into them, whose labels are known.
 
 ``clean`` then renders the text: tags, comments, templates and emphasis go; headings become
 ``# …``, list items ``- …``, code stays fenced, formulas stay as they are, links keep their words.
 
 A candidate inside a fenced code block is content. Defined results: null, empty and blank texts
 have no construct and clean to themselves; both kinds of line end are read, ``\\n`` is written;
-repeated rows count once.
+repeated rows count once. No text is shuffled: repeats are dropped from the results.
 """
 
 from __future__ import annotations
@@ -22,9 +25,11 @@ from __future__ import annotations
 import html
 import html.entities
 import re
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,19 +55,19 @@ FORMS: tuple[tuple[str, str, re.Pattern[str]], ...] = tuple(
     (family, form, re.compile(pattern, re.M))
     for family, form, pattern in (
         ("html", "comment", r"<!--[\s\S]*?(?:-->|\Z)"),
-        ("html", "declaration", r"<[?!][a-zA-Z][^<>]{0,300}>"),
+        ("html", "declaration", r"<[?!][a-zA-Z][^<>]*>"),
         ("html", "style", r"<(?:style|script)\b[^<>]*>[\s\S]*?</(?:style|script)\s*>"),
-        ("html", "tag", r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]{0,400})?/?>"),
+        ("html", "tag", r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>"),
         ("html", "cut", r"</?[A-Za-z][A-Za-z0-9]*(?:\s+[a-z-]+=(?:\"[^\"<>]*\"?|[^\s<>]*))*\s*(?=\Z)"),
-        ("html", "entity", r"&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"),
-        ("html", "like", r"&[A-Za-z]+;|<(?=[\s\d])|(?<=[ \t])->|(?<=[\d \t])>(?=\s)"),
+        ("html", "entity", r"&(?:#\d+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"),
+        ("html", "lone", r"<(?=[\s\d])|(?<=[ \t])->|(?<=[\d \t])>(?=\s)"),
         ("latex", "display", r"\$\$[^$]+?\$\$|\\\[(?:[^\\]|\\(?!\]))+\\\]|\\\((?:[^\\\n]|\\(?!\)))+\\\)"),
         ("latex", "environment", r"\\(?:begin|end)\{[A-Za-z]+\*?\}(?:\[[^\]\n]*\])?"),
-        ("latex", "inline", r"(?<![\\$\w])\$(?=[^\s$])[^$\n]{1,200}?(?<=[^\s\\])\$(?![\d$])"),
+        ("latex", "inline", r"(?<![\\$\w])\$(?=[^\s$])[^$\n]*?(?<=[^\s\\])\$(?![\d$])"),
         ("latex", "command", r"(?<![\w:\\])\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?(?:\{|(?=[\s\\]|\Z))"),
         ("latex", "accent", r"(?<![:\\])\\[\"'`^~=.](?:\{|[A-Za-z])|(?<=[A-Za-z])\\[\"'`^~](?:\{)"),
         ("latex", "escape", r"(?<![\w:\\])\\[&%$#_{}]|\\\\(?=\s*(?:\n|\Z))"),
-        ("latex", "like", r"[A-Za-z]:\\[\w\\]+|\$(?=\d)"),
+        ("latex", "lone", r"[A-Za-z]:\\[\w\\]+|\$(?=\d)"),
         ("markdown", "image", r"!\[[^\]\n]*\]\([^)\n]*\)?"),
         ("markdown", "definition", r"^ {0,3}\[\^[^\]\n]+\]:"),
         ("markdown", "note", r"\[\^[^\]\s]+\]"),
@@ -72,8 +77,8 @@ FORMS: tuple[tuple[str, str, re.Pattern[str]], ...] = tuple(
         ("wiki", "heading", r"^(={2,6})[ \t]*[^=\s](?:[^\n]*?[^=\s])?[ \t]*\1[ \t]*$"),
         ("wiki", "emphasis", r"(?<!')('{2,3}|'{5})(?=[^'\s])[^'\n]+(?:'[^'\n]+)*?\1(?!')"),
         ("markdown", "link", r"\[[^\[\]\n]+\]\([^()\s]+(?:\s+\"[^\"\n]*\")?\)"),
-        ("markdown", "like", r"\[\d+\]|\[[a-z]+\]|#\d+|(?<=\w)_(?=\w)|(?<=\d )\*(?= \d)"),
-        ("markdown", "setext", r"^(?=\S)[^\n|<>=#]{2,200}\n(?:={3,}|-{3,})[ \t]*$"),
+        ("markdown", "lone", r"\[\d+\]|\[[a-z]+\]|#\d+|(?<=\w)_(?=\w)|(?<=\d )\*(?= \d)"),
+        ("markdown", "setext", r"^(?=\S)[^\n|<>=#]+\n(?:={3,}|-{3,})[ \t]*$"),
         ("markdown", "heading", r"^ {0,3}#{1,6}[ \t]+\S.*$"),
         ("markdown", "rule", r"^ {0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})$"),
         ("markdown", "row", r"^[ \t]*\|(?:[^|\n]*\|)+[ \t]*$"),
@@ -97,8 +102,9 @@ class Candidate:
     start: int
     end: int
     line: int
-    features: list[int] = field(default_factory=list)
+    features: tuple[int, ...] = ()
     partner: int = -1
+    parent: int = -1
 
 
 def normal_ends(text: str) -> str:
@@ -122,16 +128,18 @@ def fences(text: str) -> list[tuple[int, int]]:
 def candidates(text: str) -> list[Candidate]:
     taken = bytearray(len(text))
     code = fences(text)
-    breaks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 10)
-    found = [Candidate("markdown", "fence", a, b, int(np.searchsorted(breaks, a))) for a, b in code]
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    found = [Candidate("markdown", "fence", a, b, bisect_right(breaks, a)) for a, b in code]
     for a, b in code:
         taken[a:b] = b"\1" * (b - a)
-    for family, form, pattern in FORMS:
+    for family, form, pattern, needed in NEEDED:
+        if not any(sign in text for sign in needed):
+            continue
         for m in pattern.finditer(text):
             a, b = m.span()
-            if a == b or taken[a] or (form not in OPEN_INSIDE and any(taken[a:b])) or (form in ("row", "quote", "setext") and code and any(x <= a < y for x, y in code)):
+            if a == b or taken[a] or (form not in OPEN_INSIDE and taken.find(1, a, b) >= 0) or (form in ("row", "quote", "setext") and any(x <= a < y for x, y in code)):
                 continue
-            found.append(Candidate(family, form, a, b, int(np.searchsorted(breaks, a))))
+            found.append(Candidate(family, form, a, b, bisect_right(breaks, a)))
             if form not in OPEN_INSIDE:
                 taken[a:b] = b"\1" * (b - a)
             else:
@@ -143,44 +151,87 @@ def candidates(text: str) -> list[Candidate]:
     return found
 
 
+# a text without any of these signs has no candidate of the form
+SIGNS = {
+    "comment": "<!--", "declaration": "<", "style": "<", "tag": "<", "cut": "<", "entity": "&", "display": "$ \\", "environment": "\\", "inline": "$", "command": "\\", "accent": "\\", "escape": "\\",
+    "image": "![", "definition": "[^", "note": "[^", "link": "[", "template": "{{", "table": "| !!", "heading": "# =", "emphasis": "'' * _", "setext": "=== ---", "rule": "- * _", "row": "|", "quote": ">",
+    "item": "- * + . )", "strong": "** __", "struck": "~~", "code": "`",
+}
+NEEDED = tuple((family, form, pattern, SIGNS[form].split() if form in SIGNS else [""]) for family, form, pattern in FORMS)
+
+
 def _tag_name(text: str, c: Candidate) -> str:
     m = re.match(r"</?([A-Za-z][A-Za-z0-9]*)", text[c.start : c.start + 30])
     return m.group(1).lower() if m else ""
 
 
 def _pair(text: str, found: list[Candidate]) -> None:
-    """Opening and closing tags, and environments, point to each other."""
+    """Opening and closing tags, and environments, point to each other; tags and environments to what they stand in."""
     stacks: dict[str, list[int]] = {}
+    inside: list[int] = []
     for i, c in enumerate(found):
         if c.form == "tag":
             name, closing = _tag_name(text, c), text[c.start + 1] == "/"
         elif c.form == "environment":
-            name, closing = re.sub(r"\\(begin|end)", "", text[c.start : c.end]), text.startswith("\\end", c.start)
+            name, closing = text[text.index("{", c.start) : c.end], text.startswith("\\end", c.start)
         else:
             continue
         if closing and stacks.get(name):
             j = stacks[name].pop()
             c.partner, found[j].partner = j, i
+            if inside and inside[-1] == j:
+                inside.pop()
         elif not closing:
+            c.parent = inside[-1] if inside else -1
             stacks.setdefault(name, []).append(i)
-
-
-def _features(text: str, c: Candidate) -> list[int]:
+            inside.append(i)
+
+
+MATH = re.compile(r"[\\^_={}+<>]|^[A-Za-z0-9]{1,2}$")
+ONE_WORD = re.compile(r"[A-Za-z]{3,}")
+COMMAND_NAME = re.compile(r"\\[A-Za-z]+")
+
+
+def _kind(c: str) -> str:
+    return "w" if c.isalpha() else "9" if c.isdigit() else "s" if c.isspace() or not c else c
+
+
+def _length(n: int) -> int:
+    return n if n < 4 else 4 if n < 12 else 5
+
+
+def _features(text: str, c: Candidate) -> tuple[int, ...]:
+    """Hashed features: the sign a candidate begins with, its shape, and the characters around it."""
+    inner, before, after = text[c.start : c.end], _kind(text[c.start - 1 : c.start]), _kind(text[c.end : c.end + 1])
+    bare = inner.lstrip()
+    sign, second, last = bare[:1], _kind(bare[1:2]), _kind(inner.rstrip()[-1:])
+    sign = "9" if sign.isdigit() else "w" if sign.isalpha() else sign
+    run = len(bare) - len(bare.lstrip(bare[:1]))
+    starts = before == "\n" or c.start == 0 or text[c.start - 1] == "\n"
+    shape = [f"second={second}", f"last={last}", f"run={min(run, 4)}", f"before={before}", f"after={after}", f"starts={starts}", f"length={_length(len(inner))}", f"second={second}|last={last}", f"before={before}|after={after}|last={last}"]
+    if sign == "<":
+        name = _tag_name(text, c)
+        known = "none" if not name else "known" if name in TAGS else "unknown"
+        shape += [f"name={known}", f"name={known}|close={second == '/'}", f"name={known}|attributes={'=' in inner}", f"name={known}|ends={inner[-1:] == '>'}"]
+    elif sign == "&":
+        known = "number" if inner[1:2] == "#" else "known" if inner[1:] in html.entities.html5 else "unknown"
+        shape.append(f"name={known}")
+    elif sign == "$":
+        body = inner.strip("$")
+        words = ONE_WORD.findall(COMMAND_NAME.sub("", body))
+        shape += [f"math={bool(MATH.search(body))}", f"words={min(3, len(words))}", f"math={bool(MATH.search(body))}|words={min(3, len(words))}", f"alone={len(inner) == 1}"]
+    elif sign == "[":
+        shape += [f"target={'](' in inner}", f"digits={inner[1:-1].isdigit()}|target={'](' in inner}"]
+    elif sign == "|" or c.form in ("row", "table"):
+        shape.append(f"cells={min(4, inner.count('|'))}")
+    return _hashes(tuple([f"sign={sign}", *(f"{sign}.{x}" for x in shape)]))
+
+
+@lru_cache(maxsize=200_000)
+def _hashes(names: tuple[str, ...]) -> tuple[int, ...]:
     import xxhash
 
-    inner, before, after = text[c.start : c.end], text[c.start - 1 : c.start], text[c.end : c.end + 1]
-    kind = lambda x: "w" if x.isalnum() else "s" if x.isspace() or not x else x
-    names = [f"form={c.family}.{c.form}", f"before={c.form}.{kind(before)}", f"after={c.form}.{kind(after)}", f"digit={c.form}.{any(x.isdigit() for x in inner)}", f"partner={c.form}.{c.partner >= 0}"]
-    if c.form in ("tag", "cut"):
-        names.append(f"known={_tag_name(text, c) in TAGS}.{c.form}")
-    if c.form == "entity":
-        names.append(f"known={inner[1] == '#' or inner[1:] in html.entities.html5}")
-    if c.form == "inline":
-        body = inner[1:-1]
-        names += [f"math={bool(re.search(r'[\\^_={}+<>]|^[A-Za-z]$', body))}", f"words={min(3, len(re.findall(r'[A-Za-z]{3,}', re.sub(r'\\[A-Za-z]+', '', body))))}"]
-    if c.form == "item":
-        names.append(f"sign={inner.strip()[:1] if not inner.strip()[0].isdigit() else '9'}")
-    return sorted({xxhash.xxh32_intdigest(n) & (DIMENSIONS - 1) for n in names})
+    return tuple(sorted({xxhash.xxh32_intdigest(n) & (DIMENSIONS - 1) for n in names}))
 
 
 def min_cut(costs: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndarray:
@@ -246,66 +297,94 @@ def min_cut(costs: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndarra
                 room[e ^ 1] += flow
 
 
-ADJACENT, SAME_BLOCK, PARTNER = 0.3, 0.6, 3.0
+ADJACENT, SAME_BLOCK, PARTNER, PARENT = 0.3, 0.6, 4.0, 0.3
 
 
-def label(found: list[Candidate], weights: np.ndarray) -> np.ndarray:
-    """Whether each candidate is markup."""
+def label(found: list[Candidate], weights: np.ndarray, edges: bool = True) -> np.ndarray:
+    """Whether each candidate is markup. ``edges``: whether neighbours speak, for comparison."""
     if not found:
         return np.zeros(0, bool)
-    costs = np.clip([float(weights[c.features].sum()) for c in found], -12, 12)
-    edges = []
+    costs = [max(-12.0, min(12.0, _cost(c.features, weights))) for c in found]
+    links = []
     for i, c in enumerate(found):
         if c.partner > i:
-            edges.append((i, c.partner, PARTNER))
+            links.append((i, c.partner, PARTNER))
+        if c.parent >= 0:
+            links.append((c.parent, i, PARENT))
         if i:
             p = found[i - 1]
-            if p.family == c.family and "like" not in (p.form, c.form) and c.line - p.line <= 1:
-                edges.append((i - 1, i, SAME_BLOCK if p.form == c.form else ADJACENT))
-    return min_cut(np.asarray(costs, float), edges)
+            if p.family == c.family and c.line - p.line <= 1:
+                links.append((i - 1, i, SAME_BLOCK if p.form == c.form else ADJACENT))
+    # where no edge joins two candidates that their own costs would part, the costs' signs are the minimum cut
+    if not edges or all((costs[a] > 0) == (costs[b] > 0) for a, b, _ in links):
+        return np.array(costs) > 0
+    return min_cut(np.array(costs), links)
+
+
+def _cost(features: tuple[int, ...], weights: np.ndarray) -> float:
+    known = weights_cache.setdefault(id(weights), (weights, {}))[1]
+    if features not in known:
+        if len(known) > 500_000:
+            known.clear()
+        known[features] = float(weights[list(features)].sum())
+    return known[features]
+
+
+weights_cache: dict[int, tuple[np.ndarray, dict[tuple[int, ...], float]]] = {}
 
 
 # --- training -------------------------------------------------------------------------------
 
 # {w}: a word, {s}: words, {n}: a number, {l}: a plain line. Constructs stand between spaces or on lines of their own.
 MARKED = {
-    "html": ("<b>{w}</b>", "<i>{w}</i>", "<p class=\"{w}\">{l}</p>", "<br/>", "<li>{s}</li>", "<a href=\"#{w}\">{n}</a>", "&nbsp;", "&mdash;", "&#8212;", "<!-- {s} -->", "<td>{w}</td>", "<SPAN CLASS={w}>{s}</SPAN>", "<?xml version=\"1.0\"?>", "</ul>", "<img src=\"{w}.png\" alt=\"{w}\">"),
+    "html": ("<b>{w}</b>", "<i>{w}</i>", "<p class=\"{w}\">{l}</p>", "<br/>", "<li>{s}</li>", "<a href=\"#{w}\">{n}</a>", "&nbsp;", "&mdash;", "&#8212;", "<!-- {s} -->", "<td>{w}</td>", "<SPAN CLASS={w}>{s}</SPAN>", "<?xml version=\"1.0\"?>", "</ul>", "<img src=\"{w}.png\" alt=\"{w}\">", "<{w}>{s}</{w}>", "<{w}> {s} </{w}>", "<div>", "</p>", "{s} <a href=\"{w}", "&amp;", "<style>\n.{w} {{ {w}: {n}px; }}\n</style>", "<h2>{s}</h2>", "<!DOCTYPE html>", "<em>{w}</em>", "&lt;", "&eacute;", "&#x2014;"),
     "markdown": ("\n## {s}\n", "\n# {s}\n", "**{w}**", "*{w}*", "_{w}_", "\n- {s}\n- {s}\n", "\n* {s}\n* {s}\n", "\n+ {s}\n", "\n{n}. {s}\n", "\n> {l}\n", "[{s}]({w}.md)", "![{s}]({w}.png)", "[^{n}]", "\n[^{n}]: {s}\n", "\n| {w} | {w} |\n| --- | --- |\n| {w} | {n} |\n", "`{w}`", "\n{s}\n=======\n", "\n{s}\n-------\n", "~~{w}~~", "\n***\n", "\n```\n{w} = {w}({n})\n```\n", "\n~~~\n{s}\n~~~\n"),
     "wiki": ("[[{s}]]", "[[{s}|{w}]]", "''{w}''", "'''{w}'''", "\n== {s} ==\n", "\n=== {s} ===\n", "{{{{{w}|{w}={w}}}}}", "\n{{| class={w}\n! {w} !! {w}\n|-\n| {w} || {n}\n|}}\n"),
     "latex": ("\\textit{{{w}}}", "\\section{{{s}}}", "$x_{{{n}}} = {n}$", "$$\\sum {n}$$", "\\[ a^2 + b \\]", "\\begin{{itemize}}\n\\item {s}\n\\end{{itemize}}", "\\&", "caf\\'{{e}}", "{s} \\\\\n", "\\ldots{{}}", "\\footnote{{{s}}}", "\\label{{{w}}}", "$\\alpha$"),
 }
-PLAIN = ("it cost ${n} then, and ${n} now", "{n} < {n} and {n} > {n}", "I <3 {w} -> {w}", "{w}&{w};", "Q&A;", "R&D at", "C:\\{w}\\{w}", "[{n}]", "[{w}]", "#{n}", "{w}_{w}_{w}", "{n} * {n} * {n}", "x = {n} and y == {n}", "{{{s}}}", "'{w} {w}'", "{n} > {n}", "-{n}", "{w}/{w}")
+PLAIN = ("it cost ${n} then, and ${n} now", "{n} < {n} and {n} > {n}", "I <3 {w} -> {w}", "{w}&{w};", "Q&A;", "R&D at", "C:\\{w}\\{w}", "[{n}]", "[{w}]", "#{n}", "{w}_{w}_{w}", "{n} * {n} * {n}", "x = {n} and y == {n}", "{{{s}}}", "'{w} {w}'", "{n} > {n}", "-{n}", "{w}/{w}", "<{w}>", "see <{w} {w}> there", "<{w}>", "write to <{w}>", "the <{w}>{s}", "<{w}>, <{w}>", "<{w}>{w}", "&{w};", "from ${n} to ${n}", "a ${n} or ${n} note", "${n}-${n}$", "the $ {w} $ sign", "a $5 bill and {w} $6 more$", "({w} $ {w})", "{w} -> {w}", "{n}*{n}*{n}", "[sic]", "[{n}]", "{w} #{n}", "\\\\{w}\\{w}", "D:\\{w}")
 
 
-def train(lines: list[str], rounds: int = 4000, epochs: int = 6, rate: float = 0.4) -> np.ndarray:
-    """Weights of a hashed logistic regression over candidates of made texts."""
-    draw = np.random.default_rng(5)
-    lines = [x for x in lines if x] or ["plain words stand here and there"]
-    words = sorted({w for x in lines for w in re.findall(r"[A-Za-z]{3,}", x)}) or ["word"]
+def fill(pattern: str, draw: np.random.Generator, lines: list[str], words: list[str]) -> str:
+    """The pattern with its places filled; a name that stands in ``<{w}>…</{w}>`` is the same at both ends."""
+    pick = lambda a: a[int(draw.integers(0, len(a)))]
+    out = pattern
+    if "<{w}>" in out and "</{w}>" in out:
+        name = pick(words).lower()
+        out = out.replace("<{w}>", f"<{name}>").replace("</{w}>", f"</{name}>")
+    for sign, make in (("{w}", lambda: pick(words).lower()), ("{s}", lambda: " ".join(pick(words) for _ in range(int(draw.integers(2, 5))))), ("{n}", lambda: str(int(draw.integers(1, 99)))), ("{l}", lambda: pick(lines))):
+        while sign in out:
+            out = out.replace(sign, make(), 1)
+    return out.replace("{{", "{").replace("}}", "}")
+
+
+def made_text(draw: np.random.Generator, lines: list[str], words: list[str], positive: bool) -> tuple[str, int, int]:
+    """A line with a construct or a look-alike set into it, and where that stands."""
     pick = lambda a: a[int(draw.integers(0, len(a)))]
+    inserted = fill(pick([x for v in MARKED.values() for x in v] if positive else PLAIN), draw, lines, words)
+    line = pick(lines)
+    cut = pick([m.start() for m in re.finditer(" ", line)] or [len(line)])
+    return line[:cut] + (inserted if inserted.startswith("\n") else " " + inserted) + line[cut:], cut, cut + len(inserted) + 1
+
+
+def ground(lines: list[str]) -> tuple[list[str], list[str]]:
+    """Lines and words to make texts of."""
+    lines = [x for x in lines if x] or ["plain words stand here and there"]
+    return lines, sorted({w for x in lines for w in re.findall(r"[A-Za-z]{3,}", x) if w.lower() not in TAGS}) or ["word"]
 
-    def fill(pattern: str) -> str:
-        out = pattern
-        for sign, make in (("{w}", lambda: pick(words).lower()), ("{s}", lambda: " ".join(pick(words) for _ in range(int(draw.integers(2, 5))))), ("{n}", lambda: str(int(draw.integers(1, 99)))), ("{l}", lambda: pick(lines))):
-            while sign in out:
-                out = out.replace(sign, make(), 1)
-        return out.replace("{{", "{").replace("}}", "}")
 
-    marked = [x for v in MARKED.values() for x in v]
+def train(lines: list[str], rounds: int = 6000, epochs: int = 5, rate: float = 0.4, seed: int = 5) -> np.ndarray:
+    """Weights of a hashed logistic regression over candidates of made texts."""
+    draw = np.random.default_rng(seed)
+    lines, words = ground(lines)
     rows: list[list[int]] = []
     labels: list[int] = []
     for k in range(rounds):
-        positive = k % 2 == 0
-        inserted = fill(pick(marked if positive else PLAIN))
-        line = pick(lines)
-        at = [m.start() for m in re.finditer(" ", line)] or [len(line)]
-        cut = pick(at)
-        text = line[:cut] + (inserted if inserted.startswith("\n") else " " + inserted) + line[cut:]
-        low, high = cut, cut + len(inserted) + 1
+        text, low, high = made_text(draw, lines, words, k % 2 == 0)
         for c in candidates(text):
             if c.start < high and c.end > low:
-                rows.append(c.features)
-                labels.append(int(positive))
+                rows.append(list(c.features))
+                labels.append(int(k % 2 == 0))
     weights, gathered = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-2)
     for _ in range(epochs):
         for i in draw.permutation(len(rows)):
@@ -317,35 +396,21 @@ def train(lines: list[str], rounds: int = 4000, epochs: int = 6, rate: float = 0
 
 
 def fit(texts: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """Weights; at most ``sample`` texts, in the order of a hash, come to the driver."""
-    chosen = texts.filter(F.length(F.trim("text")) > 0).withColumn("h", F.xxhash64("source_table", "item_key")).orderBy("h").limit(sample).select(F.substring("text", 1, 20_000).alias("text"))
-    lines = [x.strip() for r in chosen.collect() for x in normal_ends(r["text"]).split("\n")]
+    """Weights; of about ``sample`` texts, by a hash of their key, the plain lines come to the driver."""
+    share = sample / max(texts.count(), 1)
+    chosen = texts.filter(F.pmod(F.xxhash64("source_table", "item_key"), F.lit(1_000_000)) < F.lit(share * 1_000_000)).select(F.substring("text", 1, 20_000).alias("text"))
+    lines = [x.strip() for r in chosen.filter("text IS NOT NULL").collect() for x in normal_ends(r["text"]).split("\n")]
     return train(sorted({x for x in lines if 20 < len(x) < 400 and not re.search(r"[^\w\s.,;:?!\"'—-]", x)}))
 
 
 # --- results --------------------------------------------------------------------------------
 
 
-def genuine(text: str, c: Candidate) -> bool:
-    """The exact check of a candidate that was labelled markup."""
-    if c.form == "like":
-        return False
-    inner = text[c.start : c.end]
-    if c.form in ("tag", "cut"):
-        return _tag_name(text, c) in TAGS
-    if c.form == "entity":
-        return inner[1] == "#" or inner[1:] in html.entities.html5
-    if c.form == "inline":
-        body = inner[1:-1]
-        return bool(re.search(r"[\\^_={}+<>]|^[A-Za-z0-9]{1,2}$", body)) and not re.search(r"[A-Za-z]{3,}\s+[A-Za-z]{3,}", re.sub(r"\\[A-Za-z]+", "", body))
-    return True
-
-
 def marked(text: str | None, weights: np.ndarray) -> list[Candidate]:
     if not text or not text.strip():
         return []
     found = candidates(text)
-    return [c for c, m in zip(found, label(found, weights)) if m and genuine(text, c)]
+    return [c for c, m in zip(found, label(found, weights)) if m]
 
 
 def families(text: str | None, weights: np.ndarray) -> list[str]:
@@ -421,15 +486,13 @@ def clean(text: str | None, weights: np.ndarray) -> str | None:
         return text
     text = normal_ends(text)
     chosen = marked(text, weights)
-    closers = [c for c in chosen if c.family == "latex" and text[c.end - 1 : c.end] == "{"]
-    drop = set()
-    for c in closers:  # the brace that ends the argument
-        depth, at = 1, c.end
-        while at < len(text) and depth and at - c.end < 2000:
-            depth += {"{": 1, "}": -1}.get(text[at], 0)
-            at += 1
-        if not depth:
-            drop.add(at - 1)
+    closers = {c.end - 1 for c in chosen if c.family == "latex" and text[c.end - 1 : c.end] == "{"}
+    drop, opened = set(), []  # the braces that end the arguments of commands
+    for m in re.finditer("[{}]", text) if closers else ():
+        if m.group() == "{":
+            opened.append(m.start())
+        elif opened and opened.pop() in closers:
+            drop.add(m.start())
 
     def part(low: int, high: int, own: list[Candidate]) -> str:
         out, at, i = [], low, 0
@@ -455,9 +518,9 @@ def clean(text: str | None, weights: np.ndarray) -> str | None:
 
 
 def texts(spark: SparkSession, directory: str) -> DataFrame:
-    """(source_table, item_key, text) of both tables, each record once."""
-    documents = table(spark, directory, "documents_md").select("doc_id", "content").dropDuplicates(["doc_id"])
-    replies = table(spark, directory, "transcriptions").select("reply_id", "markdown_text").dropDuplicates(["reply_id"])
+    """(source_table, item_key, text) of both tables, repeated rows included."""
+    documents = table(spark, directory, "documents_md").select("doc_id", "content")
+    replies = table(spark, directory, "transcriptions").select("reply_id", "markdown_text")
     return documents.select(F.lit("documents_md").alias("source_table"), F.col("doc_id").alias("item_key"), F.col("content").alias("text")).unionByName(
         replies.select(F.lit("transcriptions").alias("source_table"), F.col("reply_id").cast("string").alias("item_key"), F.col("markdown_text").alias("text"))
     )
@@ -486,10 +549,10 @@ def clean_texts(frame: DataFrame, weights: np.ndarray) -> DataFrame:
 
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     everything = texts(spark, directory)
-    return find_markup(everything, fit(everything))
+    return find_markup(everything, fit(everything)).distinct()
 
 
 def p3_clean(spark: SparkSession, directory: str) -> DataFrame:
     """Every record's clean text."""
     everything = texts(spark, directory)
-    return clean_texts(everything, fit(everything))
+    return clean_texts(everything, fit(everything)).dropDuplicates(["source_table", "item_key"])

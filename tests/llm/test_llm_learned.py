@@ -203,6 +203,18 @@ def test_markup_families(weights, text, families):
     assert markup.families(text, weights) == families
 
 
+def test_the_cut_decides_what_the_classifier_leaves_open(weights):
+    closed, alone = "a <ledger> kept here </ledger> by hand", "the <ledger> kept here by hand"
+    assert markup.families(closed, weights) == ["html"] and markup.families(alone, weights) == []
+    found = markup.candidates(closed)
+    assert markup.label(found, weights).tolist() == [True, True] and markup.label(found, weights, edges=False).tolist() == [False, True]
+
+
+def test_long_constructs(weights):
+    assert markup.families('x <img alt="' + "word " * 400 + '"> y', weights) == ["html"]
+    assert markup.clean("so \\emph{" + "old words " * 900 + "} ends", weights) == "so " + "old words " * 900 + " ends"
+
+
 def test_clean_keeps_structure(weights):
     text = "<h2>Old &amp; small</h2>\n<ul><li>one</li><li>two</li></ul>\n\n```\n<b>\n```\n\nA **b** with $x_1 = 2$ and [[w|link]]."
     assert markup.clean(text, weights) == "## Old & small\n\n- one\n- two\n\n```\n<b>\n```\n\nA b with $x_1 = 2$ and link."
