@@ -135,8 +135,8 @@ def planned_texts(plan: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def items(spark: SparkSession, directory: str) -> DataFrame:
-    """(source_table, item_key, text) of both tables, each item once."""
-    chunks = table(spark, directory, "chunk_texts").select("chunk_id", "content").dropDuplicates(["chunk_id"])
+    """(source_table, item_key, text) of both tables; a chunk that was delivered twice comes twice."""
+    chunks = table(spark, directory, "chunk_texts").select("chunk_id", "content")
     planned = planned_texts(table(spark, directory, "chunk_plan"), table(spark, directory, "html_lines"))
     return chunks.select(F.lit("chunk_texts").alias("source_table"), F.col("chunk_id").cast("string").alias("item_key"), F.col("content").alias("text")).unionByName(
         planned.select(F.lit("chunk_plan").alias("source_table"), F.col("plan_id").cast("string").alias("item_key"), "text")
@@ -146,9 +146,9 @@ def items(spark: SparkSession, directory: str) -> DataFrame:
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     """Items above the limit: those that the operator cut into more than one piece."""
     cut = split_items(items(spark, directory), ["source_table", "item_key"], "text", with_text=False)
-    return cut.filter("n_pieces > 1 and piece_no = 0").select("source_table", "item_key")
+    return cut.filter("n_pieces > 1 and piece_no = 0").select("source_table", "item_key").distinct()
 
 
 def p4_pieces(spark: SparkSession, directory: str) -> DataFrame:
     """The pieces of all items, with the given overlap."""
-    return split_items(items(spark, directory), ["source_table", "item_key"], "text")
+    return split_items(items(spark, directory), ["source_table", "item_key"], "text").dropDuplicates(["source_table", "item_key", "piece_no"])
