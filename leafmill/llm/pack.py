@@ -6,8 +6,9 @@ by a parameter, whatever the number of documents. Best fit over counts: sizes ar
 the largest down; all documents of a size that fit the fullest open kind of container are placed
 at once. The plan is a list of runs ``(size, first rank, last rank, first container)``. A
 document's place follows from its rank among documents of its size, and ranks are computed in
-salted groups (rank within the salt plus the salts before it), so a size that a third of all
-documents have is spread over many tasks.
+salted groups (rank within the salt plus the salts before it). A size has one salt for every
+``ROWS_PER_SALT`` of its documents, so a size that a third of all documents have is spread over many
+tasks, and what is broadcast has at most capacity + 1 + documents / ``ROWS_PER_SALT`` rows.
 
 Defined results: an item larger than the capacity is divided into full pieces, each alone in its
 container, and a remainder that is packed like any other item; no other item is divided. Items
@@ -26,7 +27,7 @@ from leafmill.llm.common import cut_lineage, table
 from leafmill.llm.encode import count_tokens
 
 CAPACITY = 2048
-SALTS = 64
+ROWS_PER_SALT = 200_000
 
 
 def plan_runs(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -87,10 +88,10 @@ def _bisect(ordered: list[int], value: int) -> int:
     return low
 
 
-def pack_items(sizes: DataFrame, item: str, size: str, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def pack_items(sizes: DataFrame, item: str, size: str, capacity: int = CAPACITY, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Rows (item, piece_no, size, container_id) from rows (item, size).
 
-    ``sizes`` is read twice; give it as a table or a checkpoint where it is dear to compute.
+    ``sizes`` is read two or three times; give it as a table or a checkpoint where it is dear to compute.
     """
     spark = sizes.sparkSession
     n = F.coalesce(F.col(f"`{size}`").cast("bigint"), F.lit(0))
@@ -107,14 +108,23 @@ def pack_items(sizes: DataFrame, item: str, size: str, capacity: int = CAPACITY,
                 )
             ).alias("p"),
         )
-        .select("__item", "p.piece_no", "p.size", F.pmod(F.xxhash64("__item", "p.piece_no"), F.lit(salts)).alias("salt"))
+        .select("__item", "p.piece_no", "p.size")
     )
-    counted = pieces.groupBy("size", "salt").agg(F.count(F.lit(1)).alias("n")).collect()  # at most (capacity + 1) * salts rows
-    by_size: dict[int, int] = defaultdict(int)
+    by_size = {r["size"]: r["n"] for r in pieces.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity + 1 rows
+    salts = {s: -(-n // rows_per_salt) for s, n in by_size.items()}
+    hot = [s for s, k in salts.items() if k > 1]  # a size is hot from rows_per_salt documents on
+    if hot:
+        of_size = spark.createDataFrame([(s, salts[s]) for s in hot], "size bigint, salts bigint")
+        salt = F.coalesce(F.pmod(F.xxhash64("__item", "piece_no"), F.col("salts")), F.lit(0).cast("bigint"))
+        pieces = pieces.join(F.broadcast(of_size), "size", "left").withColumn("salt", salt).drop("salts")
+        counted = pieces.filter(F.col("size").isin(hot)).groupBy("size", "salt").agg(F.count(F.lit(1)).alias("n")).collect()
+    else:
+        pieces, counted = pieces.withColumn("salt", F.lit(0).cast("bigint")), []
+    before: dict[int, int] = defaultdict(int)
     offsets = []
     for row in sorted(counted, key=lambda r: (r["size"], r["salt"])):
-        offsets.append((row["size"], row["salt"], by_size[row["size"]]))
-        by_size[row["size"]] += row["n"]
+        offsets.append((row["size"], row["salt"], before[row["size"]]))
+        before[row["size"]] += row["n"]
     runs, total = plan_runs(by_size, capacity)
     grouped = defaultdict(list)
     for s, lo, hi, first, each in runs:
@@ -126,8 +136,8 @@ def pack_items(sizes: DataFrame, item: str, size: str, capacity: int = CAPACITY,
     )
     ranked = (
         pieces.withColumn("rn", F.row_number().over(Window.partitionBy("size", "salt").orderBy("__item", "piece_no")) - 1)
-        .join(F.broadcast(offset_rows), ["size", "salt"])
-        .withColumn("rank", F.col("before") + F.col("rn"))
+        .join(F.broadcast(offset_rows), ["size", "salt"], "left")
+        .withColumn("rank", F.coalesce("before", F.lit(0)) + F.col("rn"))
         .join(F.broadcast(run_rows), "size", "left")
     )
     at = F.get("runs", F.size(F.filter("los", lambda lo: lo <= F.col("rank"))) - 1)

@@ -44,7 +44,7 @@ def test_parts_at_safe_boundaries():
 def test_packing_is_whole_and_tight(spark):
     draw = random.Random(2)
     sizes = [(i, draw.choice([0, 3, 7, 7, 7, 7, 50, 99, 100, 101, 350, None])) for i in range(600)]
-    got = pack.pack_items(spark.createDataFrame(sizes, "doc bigint, n int"), "doc", "n", capacity=100, salts=4).collect()
+    got = pack.pack_items(spark.createDataFrame(sizes, "doc bigint, n int"), "doc", "n", capacity=100, rows_per_salt=50).collect()
     assert all(r["container_id"] is not None for r in got)
     by_item, by_container = {}, {}
     for r in got:
