@@ -158,6 +158,17 @@ def relative_to(path: Column, base: Column) -> Column:
     return F.when(F.startswith(path, prefix), F.substr(path, F.length(prefix) + 1)).otherwise(path)
 
 
+def relative_path(path: Column, base: Column) -> Column:
+    """The way from a base folder to a path, with ``..`` for each folder to leave; both absolute and without ``..``."""
+    parts = lambda c: F.filter(F.split(c, "/"), lambda x: ~x.isin("", "."))
+    p, b = parts(path), parts(base)
+    same = F.filter(F.arrays_zip(p.alias("p"), b.alias("b")), lambda z: F.lit(True))
+    parted = F.array_position(F.transform(same, lambda z: F.coalesce(z["p"] != z["b"], F.lit(True))), True)
+    common = F.when(parted == 0, F.size(b)).otherwise(parted.cast("int") - 1)
+    way = F.concat(F.array_repeat(F.lit(".."), F.size(b) - common), F.slice(p, common + 1, F.size(p)))
+    return F.when(F.size(way) == 0, ".").otherwise(F.array_join(way, "/"))
+
+
 def minutes_since(now_seconds: Column, then_seconds: Column) -> Column:
     return F.floor((now_seconds - then_seconds) / 60).cast("bigint")
 

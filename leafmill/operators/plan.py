@@ -98,6 +98,44 @@ def discover_chunks(names: DataFrame, name: str, stems: DataFrame, stem: str) ->
     return keyed.unionByName(every).distinct().select(stem, F.col("i").cast("bigint").alias("idx"), name)
 
 
+PREVIEW_CHUNKS, CONTEXT_CHUNKS = 5, 5
+
+
+def previews(plan: DataFrame, lines: DataFrame, first: int = PREVIEW_CHUNKS) -> DataFrame:
+    """(doc_id, preview): the first chunks of each document with their title, range, text and contexts.
+
+    ``plan`` has plan_id, doc_id, chunk_number, title, output_range and contexts. The order of chunks is
+    by number, ties by plan_id. Chunks without a range of two numbers are passed over, as are such
+    contexts; a reversed range and one beyond the text give an empty text.
+    """
+    at = F.struct("chunk_number", "plan_id")
+    ranged = plan.filter(F.size("output_range") >= 2).withColumn("__at", at)
+    chosen = ordinal_slice(ranged, "doc_id", "__at", 1, first).drop("__at", "ordinal")
+    own = F.array(F.struct(F.lit(0).alias("k"), F.col("output_range").alias("r")))
+    more = F.transform(F.filter(F.coalesce("contexts", F.array().cast("array<array<int>>")), lambda r: F.size(r) >= 2), lambda r, i: F.struct((i + 1).alias("k"), r.alias("r")))
+    each = chosen.select("plan_id", "doc_id", "chunk_number", "title", "output_range", F.explode(F.concat(own, more)).alias("s"))
+    each = each.select("*", F.struct("plan_id", "s.k").alias("key"), F.get("s.r", F.lit(0)).alias("lo"), F.get("s.r", F.lit(1)).alias("hi"))
+    texts = slice_lines(each, lines, "key", "doc_id", F.col("lo"), F.col("hi")).select("key", "text")
+    span = F.concat(F.lit("lines "), F.col("lo").cast("string"), F.lit("–"), F.col("hi").cast("string"))
+    head = F.when(F.col("key.k") == 0, F.lit("  --- PRIMARY TEXT (output_range): ")).otherwise(F.concat(F.lit("  --- ADDITIONAL CONTEXT["), F.col("key.k").cast("string"), F.lit("]: ")))
+    parts = each.join(texts, "key", "left").withColumn("part", F.concat(head, span, F.lit(" ---\n"), F.coalesce("text", F.lit(""))))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key.k", "part"))), lambda x: x["part"]), "\n\n")
+    chunks = parts.groupBy("plan_id", "doc_id", "chunk_number").agg(F.first("title").alias("title"), F.first("output_range").alias("r"), joined.alias("body"))
+    rule = F.lit("=" * 70)
+    title = F.concat(
+        rule, F.lit("\nChunk "), F.coalesce(F.col("chunk_number").cast("string"), F.lit("?")), F.lit(": "), F.coalesce("title", F.lit("")), F.lit("\n  output_range: lines "),
+        F.get("r", F.lit(0)).cast("string"), F.lit("–"), F.get("r", F.lit(1)).cast("string"), F.lit("\n"), rule, F.lit("\n"), F.col("body"),
+    )
+    told = chunks.select("doc_id", F.struct("chunk_number", "plan_id", title.alias("text")).alias("c"))
+    return told.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["text"]), "\n\n").alias("preview"))
+
+
+def recent_chunks(plan: DataFrame, last: int = CONTEXT_CHUNKS) -> DataFrame:
+    """The last chunks of each document, which the next request for a plan is given as context."""
+    by_end = Window.partitionBy("doc_id").orderBy(F.col("chunk_number").desc(), F.col("plan_id").desc())
+    return plan.withColumn("__n", F.row_number().over(by_end)).filter(F.col("__n") <= last).drop("__n")
+
+
 def remaining(frame: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """What is not done yet; the keys of ``done`` may repeat."""
     return frame.join(done.select(*keys), keys, "left_anti")

@@ -138,11 +138,36 @@ def ordinal_slice(spark: SparkSession, d: str) -> DataFrame:
     return P.ordinal_slice(read_table(spark, d, "files_pages").select("file", "batch_no").distinct(), "file", "batch_no", 1, 2)
 
 
-@query("""WITH c AS (SELECT plan_id, doc_id, chunk_number, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY chunk_number, plan_id) AS INTEGER) AS n FROM (SELECT DISTINCT plan_id, doc_id, chunk_number FROM chunk_plan)) SELECT plan_id, doc_id, chunk_number FROM c WHERE n <= 5""")
+FIRST_SQL = """f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_number, plan_id) AS n FROM
+    (SELECT plan_id, any_value(doc_id) AS doc_id, any_value(chunk_number) AS chunk_number, any_value(title) AS title, any_value(output_range) AS r, any_value(contexts) AS contexts FROM chunk_plan GROUP BY plan_id) WHERE len(r) >= 2) WHERE n <= 5)"""
+
+
+@query(f"""WITH {FIRST_SQL}, l AS ({LINES_SQL}),
+    x AS (SELECT plan_id, doc_id, unnest(list_filter(coalesce(contexts, []), lambda c: len(c) >= 2)) AS r, generate_subscripts(list_filter(coalesce(contexts, []), lambda c: len(c) >= 2), 1) AS k FROM f),
+    e AS (SELECT plan_id, doc_id, r, 0 AS k FROM f UNION ALL SELECT plan_id, doc_id, r, k FROM x),
+    t AS (SELECT e.plan_id, e.k, coalesce(string_agg(line, chr(10) ORDER BY line_no), '') AS text FROM e LEFT JOIN l ON e.doc_id = l.doc_id AND line_no BETWEEN e.r[1] AND e.r[2] GROUP BY e.plan_id, e.k),
+    p AS (SELECT e.plan_id, string_agg(CASE WHEN e.k = 0 THEN '  --- PRIMARY TEXT (output_range): ' ELSE '  --- ADDITIONAL CONTEXT[' || e.k || ']: ' END || 'lines ' || e.r[1] || '–' || e.r[2] || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY e.k) AS body FROM e JOIN t ON e.plan_id = t.plan_id AND e.k = t.k GROUP BY e.plan_id)
+    SELECT doc_id, string_agg(repeat('=', 70) || chr(10) || 'Chunk ' || chunk_number || ': ' || coalesce(title, '') || chr(10) || '  output_range: lines ' || r[1] || '–' || r[2] || chr(10) || repeat('=', 70) || chr(10) || body, chr(10) || chr(10) ORDER BY chunk_number, f.plan_id) AS preview
+    FROM f JOIN p ON f.plan_id = p.plan_id GROUP BY doc_id""")
 def plan_preview(spark: SparkSession, d: str) -> DataFrame:
-    """The first five chunks of a book."""
-    x = _plan(spark, d).select("plan_id", "doc_id", "chunk_number")
-    return P.ordinal_slice(x.withColumn("o", F.struct("chunk_number", "plan_id")), "doc_id", "o", 1, 5).select("plan_id", "doc_id", "chunk_number")
+    """The preview text of each book's first five chunks."""
+    return P.previews(_plan(spark, d), _lines(spark, d))
+
+
+@query("SELECT plan_id, doc_id, chunk_number FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_number DESC, plan_id DESC) AS n FROM (SELECT DISTINCT plan_id, doc_id, chunk_number FROM chunk_plan)) WHERE n <= 5")
+def recent_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The last five chunks of each book."""
+    return P.recent_chunks(_plan(spark, d).select("plan_id", "doc_id", "chunk_number"))
+
+
+@query("""SELECT plan_id, doc_id, chunk_number FROM (SELECT DISTINCT plan_id, doc_id, chunk_number FROM chunk_plan) p WHERE NOT EXISTS (
+    SELECT 1 FROM transcriptions t WHERE t.doc_id = p.doc_id AND t.chunk_number = p.chunk_number AND t.attempt = 1 AND t.model = (SELECT min(model) FROM transcriptions))""")
+def plans_without_reply(spark: SparkSession, d: str) -> DataFrame:
+    """F6 where many are left: planned chunks without a first reply of one model."""
+    replies = read_table(spark, d, "transcriptions")
+    least = replies.agg(F.min("model").alias("model"))
+    done = replies.filter("attempt = 1").join(F.broadcast(least), "model")
+    return P.remaining(_plan(spark, d).select("plan_id", "doc_id", "chunk_number"), done, ["doc_id", "chunk_number"])
 
 
 @query("SELECT * FROM (VALUES (0,'PRIMARY TEXT' || chr(10) || 'a'),(1,'PRIMARY TEXT' || chr(10) || 'a' || chr(10) || chr(10) || 'ADDITIONAL CONTEXT' || chr(10) || 'b')) AS t(i, prompt)")
@@ -156,11 +181,15 @@ ITEMS_SQL = """WITH k AS (SELECT file, idx, any_value(label) AS label, regexp_re
     f AS (SELECT *, coalesce(label IN ('footnote', 'page_footer'), false) AS note, regexp_matches(body, '^\\d+$') AS number FROM v),
     s AS (SELECT *, note AND regexp_matches(body, '^(?:\\d+[.\\s]|\\[\\d+\\]|\\*)\\s*') AND NOT number AS starts FROM f),
     g AS (SELECT *, coalesce(label = 'page_footer', false) AND NOT starts AND NOT (number OR (body = upper(body) AND length(body) <= 60)) AS goes_on FROM s),
-    p AS (SELECT *, last_value(CASE WHEN label = 'page_header' THEN body END IGNORE NULLS) OVER (PARTITION BY file ORDER BY idx) AS page_ctx,
-          last_value(CASE WHEN starts THEN idx WHEN NOT goes_on THEN -1 END IGNORE NULLS) OVER (PARTITION BY file ORDER BY idx) AS start_idx FROM g)"""
+    t AS (SELECT *, CASE WHEN starts THEN idx WHEN NOT goes_on THEN -1 END AS turn FROM g),
+    p AS (SELECT *, last_value(CASE WHEN label = 'page_header' THEN body END IGNORE NULLS) OVER w AS page, last_value(turn IGNORE NULLS) OVER w AS start_idx,
+          last_value(turn IGNORE NULLS) OVER (PARTITION BY file ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM t WINDOW w AS (PARTITION BY file ORDER BY idx)),
+    e AS (SELECT file, earlier AS start_idx, page FROM p WHERE earlier >= 0 AND turn IS NOT NULL),
+    m AS (SELECT file, start_idx, arg_max(coalesce(page, 'Unknown Page'), idx) AS page, string_agg(body, ' ' ORDER BY idx) AS footnote FROM p WHERE start_idx >= 0 GROUP BY file, start_idx),
+    n AS (SELECT m.file, m.start_idx, CASE WHEN e.start_idx IS NULL THEN m.page ELSE coalesce(e.page, 'Unknown Page') END AS page_ctx, footnote FROM m LEFT JOIN e ON e.file = m.file AND e.start_idx = m.start_idx)"""
 
 
-@query(ITEMS_SQL + """ SELECT file, start_idx, coalesce(max(CASE WHEN idx = start_idx THEN page_ctx END), 'Unknown Page') AS page_ctx, string_agg(body, ' ' ORDER BY idx) AS footnote FROM p WHERE start_idx >= 0 GROUP BY file, start_idx""")
+@query(ITEMS_SQL + " SELECT file, start_idx, page_ctx, footnote FROM n")
 def extracted_footnotes(spark: SparkSession, d: str) -> DataFrame:
     """W7 over all extracted items."""
     return N.extract_footnotes(read_table(spark, d, "extracted_items").dropDuplicates(["file", "idx"]))

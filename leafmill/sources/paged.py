@@ -1,9 +1,15 @@
-"""A source of paged JSON: every page names the next one until none follows.
+"""Sources of JSON that is fetched: pages that name the next one, and forecasts.
 
-Paging is sequential, so the source has one partition; pages come from a callable-free location
+``paged_json``: paging is sequential, so the source has one partition; pages come from a location
 (local files or an HTTP address), which keeps the source picklable. Options: ``start`` (the first
 page), ``next`` (the field that names the next page, default ``continue``), ``items`` (dotted field
-of the list, default ``query.categorymembers``), ``retries`` (default 3).
+of the list, default ``query.categorymembers``), ``retries`` (default 3). The next page is named by
+an address, by a file beside the page, or by an object whose members are sent as parameters of the
+first address, in place of those of the same names.
+
+``forecast_json``: one row (place, body) for each place of the comma-separated option ``places``,
+fetched from ``address`` with ``{place}`` replaced; a partition for each place. An address that
+can't be fetched and a body that is no JSON with a ``list`` are errors, as nothing else is known.
 """
 
 from __future__ import annotations
@@ -12,10 +18,10 @@ import json
 import os
 import time
 from collections.abc import Iterator
-from urllib.parse import quote, urlparse, urlunparse
+from urllib.parse import parse_qsl, quote, urlencode, urlparse, urlunparse
 from urllib.request import Request, urlopen
 
-from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 def fetch(address: str, retries: int = 3, wait: float = 0.5, agent: str = "leafmill") -> str:
@@ -24,7 +30,7 @@ def fetch(address: str, retries: int = 3, wait: float = 0.5, agent: str = "leafm
     if parsed.scheme in ("", "file"):
         with open(parsed.path, encoding="utf-8", errors="replace") as f:
             return f.read()
-    quoted = urlunparse(parsed._replace(path=quote(parsed.path, safe="/%")))
+    quoted = urlunparse(parsed._replace(path=quote(parsed.path, safe="/")))
     for attempt in range(retries):
         try:
             with urlopen(Request(quoted, headers={"User-Agent": agent}), timeout=60) as response:
@@ -49,6 +55,13 @@ def fetch_cached(address: str, folder: str, name: str) -> str:
         return f.read()
 
 
+def with_parameters(address: str, members: dict) -> str:
+    """The address with the members as parameters of its query; a file's name has none and gives the file of that query."""
+    parsed = urlparse(address)
+    query = dict(parse_qsl(parsed.query, keep_blank_values=True)) | {k: str(v) for k, v in members.items()}
+    return urlunparse(parsed._replace(query=urlencode(query)))
+
+
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options = options
@@ -65,7 +78,10 @@ class PagedReader(DataSourceReader):
             for x in items.values() if isinstance(items, dict) else items:
                 yield (x.get("pageid"), x.get("ns"), x.get("title"), x.get("fullurl"))
             following = data.get(self.options.get("next", "continue"))
-            page = os.path.join(base, following) if following and "://" not in following else following
+            if isinstance(following, dict):
+                page = with_parameters(self.options["start"], following)
+            else:
+                page = os.path.join(base, following) if following and "://" not in following else following
 
 
 class PagedSource(DataSource):
@@ -78,3 +94,29 @@ class PagedSource(DataSource):
 
     def reader(self, schema) -> PagedReader:
         return PagedReader(dict(self.options))
+
+
+class ForecastReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.options = options
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(p.strip()) for p in self.options["places"].split(",") if p.strip()]
+
+    def read(self, partition) -> Iterator[tuple]:
+        body = fetch(self.options["address"].replace("{place}", quote(partition.value)), int(self.options.get("retries", 1)))
+        if not isinstance(json.loads(body).get("list"), list):
+            raise ValueError(f"no forecast for {partition.value}")
+        yield (partition.value, body)
+
+
+class ForecastSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "forecast_json"
+
+    def schema(self) -> str:
+        return "place string, body string"
+
+    def reader(self, schema) -> ForecastReader:
+        return ForecastReader(dict(self.options))

@@ -30,6 +30,17 @@ def write_plan(plan: DataFrame, path: str) -> None:
     plan.write.mode("overwrite").json(path)
 
 
+def write_texts(texts: DataFrame, key: str, text: str, path: str) -> None:
+    """Whole texts (outlines, previews) in a folder for each key."""
+    texts.select(key, F.col(text).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+
+
+def write_outlines(outlines: DataFrame, key: str, path: str) -> None:
+    """Outline rows (key, seq, line, depth, entry) as ``line: entry``, indented by depth, in the order of the rows."""
+    lines = outlines.select(key, "seq", F.concat(F.col("line").cast("string"), F.lit(": "), F.repeat(F.lit("  "), F.col("depth")), "entry").alias("value"))
+    lines.repartition(key).sortWithinPartitions(key, "seq").select(key, "value").write.mode("overwrite").partitionBy(key).text(path)
+
+
 def write_documents(documents: DataFrame, path: str) -> None:
     """Documents with their metadata as front matter, to a new place; what is being read is never overwritten."""
     head = F.when(F.coalesce(F.size("meta"), F.lit(0)) > 0, F.concat(F.lit("---\n"), F.array_join(F.transform(F.array_sort(F.map_entries("meta")), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("")))), "\n"), F.lit("\n---\n"))).otherwise("")

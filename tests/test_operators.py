@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from leafmill.functions import rules, text as X
-from leafmill.operators import catalog, footnotes, html, lines, plan, refs
+from leafmill.operators import catalog, footnotes, html, images, lines, plan, refs
 from leafmill.sources import files, paged, sinks
 from leafmill.streaming.resume import event_windows, resume_chunks
 
@@ -69,11 +69,13 @@ def test_overlaps(spark):
 
 def test_footnotes_across_blocks(spark, monkeypatch):
     rows = [("f", 1, "page_header", "H"), ("f", 2, "footnote", "1. a"), ("f", 3, "page_footer", "and so on"), ("f", 4, "page_footer", "THE END"), ("f", 5, "page_footer", "lost"), ("f", 6, "footnote", "[2] b"), ("f", 7, None, None), ("f", 8, "page_footer", "c")]
-    expected = [("H", "1. a and so on"), ("H", "[2] b c")]
+    rows += [("f", 9, "page_header", "I"), ("f", 10, "footnote", "3. d"), ("f", 11, "page_header", "J"), ("g", 0, "footnote", "* e"), ("g", 5000, "page_footer", "f"), ("h", 3, "footnote", "1. x"), ("h", 4, "footnote", "2. y")]
+    # a note that a header ends has that header; one without any has none
+    expected = [("f", "H", "1. a and so on"), ("f", "I", "[2] b c"), ("f", "J", "3. d"), ("g", "Unknown Page", "* e f"), ("h", "Unknown Page", "1. x"), ("h", "Unknown Page", "2. y")]
     for block in (2, 2048):
         monkeypatch.setattr(footnotes, "BLOCK", block)
-        got = footnotes.extract_footnotes(spark.createDataFrame(rows, "file string, idx int, label string, text string")).orderBy("start_idx")
-        assert [(r["page_ctx"], r["footnote"]) for r in got.collect()] == expected
+        got = footnotes.extract_footnotes(spark.createDataFrame(rows, "file string, idx int, label string, text string")).orderBy("file", "start_idx")
+        assert [(r["file"], r["page_ctx"], r["footnote"]) for r in got.collect()] == expected
 
 
 def test_references_and_orphans(spark):
@@ -90,8 +92,10 @@ def test_macro_scanner():
     assert html.mark_macros("x [note] y") == "x [note] y"
     assert html.mark_macros("{unclosed") == "{unclosed"
     assert html.mark_macros("") == ""
-    assert html.balanced("(a\n\n\n)", 0, "(", ")") is None
-    assert html.balanced("(it's)", 0, "(", ")") is None
+    assert html.macro_end("(a\n\n\n)", 0, "(") is None and html.macro_end("(a\n\n)", 0, "(") == 5
+    assert html.macro_end("(it's)", 0, "(") is None
+    assert html.macro_end("<<a <<b>> c>>", 0, "<<") == 9 and html.macro_end("{a {b} c}", 0, "{") == 9
+    assert html.mark_macros("[css]\nx {y}\n[z]\n{set}") == "\n```css\nx {y}\n```\n\n\n\n> `[z]`\n\n\n\n> `{set}`\n"
 
 
 def test_recovered_objects():
@@ -107,6 +111,12 @@ def test_outline_shortens_lists():
     assert html.outline("") == [(1, 0, "<[document] />")]
 
 
+def test_outline_of_unclosed_tags():
+    entries = html.outline("<p>x" * 20_000)
+    assert len(entries) == 60_002 and entries[39_999][1:] == (20_000, "<p>")
+    assert html.outline("<p>a<br><br>b</p></ul>")[1:-1] == [(1, 1, "<p>"), (1, 2, "a"), (1, 2, "<br /> [2x]"), (1, 2, "b"), (1, 1, "</p>")]
+
+
 def test_rules_keep_nulls(spark):
     x = spark.createDataFrame([(None, None)], "t string, k string")
     assert x.select(rules.rewrite_footnotes(F.col("t"), F.col("k"), True), rules.strip_reply(F.col("t")), rules.escape_underscores(F.col("t"))).first() == (None, None, None)
@@ -139,6 +149,86 @@ def test_paged_source(spark, tmp_path):
     assert sorted(r["title"] for r in got.collect()) == ["a", "b"]
 
 
+def test_sources_over_http(spark):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from urllib.parse import parse_qs, urlparse
+
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            url = urlparse(self.path)
+            asked.append(self.path)
+            query = parse_qs(url.query, keep_blank_values=True)
+            at = query.get("cmcontinue", [""])[0]
+            pages = {"": ("a", "page|2"), "page|2": ("b", "page|3"), "page|3": ("c", None)}
+            body = {"query": {"categorymembers": [{"pageid": 1, "ns": 0, "title": pages[at][0]}]}} if at in pages else {}
+            if at in pages and pages[at][1]:
+                body["continue"] = {"cmcontinue": pages[at][1], "continue": "-||"}
+            if url.path.startswith("/forecast"):
+                body = {"list": []} if "Aal" in self.path else {"cod": "404"}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    spark.dataSource.register(paged.PagedSource)
+    spark.dataSource.register(paged.ForecastSource)
+    got = spark.read.format("paged_json").option("start", f"{base}/a b%20c/api.php?action=query&cmcontinue=").load().collect()
+    assert [r["title"] for r in got] == ["a", "b", "c"]
+    assert asked[0].startswith("/a%20b%2520c/") and "cmcontinue=page%7C2" in asked[1] and "action=query" in asked[2]
+    rows = spark.read.format("forecast_json").option("address", base + "/forecast?q={place}").option("places", "Aal, Aalen").load().collect()
+    assert sorted(r["place"] for r in rows) == ["Aal", "Aalen"]
+    try:
+        spark.read.format("forecast_json").option("address", base + "/forecast?q={place}").option("places", "X").load().collect()
+        raise AssertionError("an answer without a forecast is an error")
+    except Exception as error:
+        assert "no forecast for X" in str(error)
+    server.shutdown()
+
+
+def test_image_links(spark):
+    x = spark.createDataFrame([(1, 'a <img src="http://h/p.png" alt="x"> ![t](https://h/q.JPG) http://h/p.png'), (2, "![t](local.png) ![u](http://gone/z.gif)"), (3, None), (4, "")], "id int, text string")
+    assert [r[0] for r in x.orderBy("id").select(images.image_addresses(F.col("text"))).collect()] == [["http://h/p.png", "https://h/q.JPG"], ["http://gone/z.gif"], [], []]
+    asked = x.select(F.explode(images.image_addresses(F.col("text"))).alias("a"))
+    fetched = images.fetch_images(asked, "a", lambda a: None if "gone" in a else a[-3:].encode())
+    names = {r["address"]: r["name"] for r in fetched.collect()}
+    assert names == {"http://h/p.png": "image_0b4c.png".replace("0b4c", __import__("hashlib").md5(b"png").hexdigest()[:4]), "https://h/q.JPG": "image_" + __import__("hashlib").md5(b"JPG").hexdigest()[:4] + ".JPG"}
+    got = {r["id"]: r["text"] for r in images.rewrite_links(x, "id", "text", fetched, "img/").collect()}
+    one, two = names["http://h/p.png"], names["https://h/q.JPG"]
+    assert got == {1: f'a <img src="img/{one}" alt="x"> ![t](img/{two}) img/{one}', 2: "![t](local.png) ![u](http://gone/z.gif)", 3: None, 4: ""}
+
+
+def test_previews(spark):
+    lines_ = spark.createDataFrame([("d", i, c) for i, c in enumerate("abcd", 1)], "doc_id string, line_no int, line string")
+    rows = [(1, "d", 1, "T", [1, 2], [[3, 4], [9]]), (2, "d", 2, None, [4, 3], None), (3, "d", 3, "x", [1], None)] + [(10 + i, "d", 10 + i, "y", [1, 1], []) for i in range(5)]
+    got = plan.previews(spark.createDataFrame(rows, "plan_id bigint, doc_id string, chunk_number int, title string, output_range array<int>, contexts array<array<int>>"), lines_).collect()
+    rule = "=" * 70
+    assert len(got) == 1 and got[0]["preview"].count("Chunk ") == 5
+    assert got[0]["preview"].startswith(f"{rule}\nChunk 1: T\n  output_range: lines 1–2\n{rule}\n  --- PRIMARY TEXT (output_range): lines 1–2 ---\na\nb\n\n  --- ADDITIONAL CONTEXT[1]: lines 3–4 ---\nc\nd\n\n{rule}\nChunk 2: \n")
+
+
+def test_outlines_and_previews_are_written(spark, tmp_path):
+    pages = spark.createDataFrame([("k", "<p>a<br><br></p>")], "k string, t string")
+    sinks.write_outlines(html.outlines(pages, ["k"], "t"), "k", str(tmp_path / "outline"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "outline/k=k")).collect()] == ["1: <[document]>", "1:   <p>", "1:     a", "1:     <br /> [2x]", "1:   </p>", "1: </[document]>"]
+    sinks.write_texts(pages, "k", "t", str(tmp_path / "text"))
+    assert spark.read.text(str(tmp_path / "text")).count() == 1
+
+
+def test_relative_paths(spark):
+    rows = [("/m/a/b.mp3", "/m", "a/b.mp3"), ("/m/a/b.mp3", "/m/c/d", "../../a/b.mp3"), ("/x", "/m/", "../x"), ("/m", "/m", "."), ("/m", "/m/a", ".."), ("/mm/a", "/m", "../mm/a"), (None, "/m", None)]
+    for p, b, r in spark.createDataFrame(rows, "p string, b string, r string").select(X.relative_path(F.col("p"), F.col("b")), "p", "r").collect():
+        assert p == r, b
+
+
 def test_stream_resumes(spark, tmp_path):
     source, target, check = (str(tmp_path / x) for x in ("in", "out", "check"))
     spark.createDataFrame([(1, "a")], "id int, text string").write.parquet(source)
