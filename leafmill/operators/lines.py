@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.operators.footnotes import carried
+
 
 def split_lines(text: Column) -> Column:
     """Lines without their ends; a final line end adds no empty line."""
@@ -115,9 +117,10 @@ def strip_archive_frame(text: Column, search: int = 20) -> Column:
 
 
 def carry_number(frame: DataFrame, key: str, order: str, line: str) -> DataFrame:
-    """Adds ``number``: the line number an outline line begins with, else that of the line before (0 at first)."""
-    from pyspark.sql import Window
+    """Adds ``number``: the line number an outline line begins with, else that of the line before (0 at first).
 
+    Carried over blocks of lines (see ``footnotes.carried``), so no window holds a whole document.
+    """
     own = F.regexp_extract(F.col(line), r"^\s*(\d+):", 1)
-    number = F.last(F.when(own != "", own.cast("bigint")), ignorenulls=True).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return frame.withColumn("number", F.coalesce(number, F.lit(0)))
+    numbered = carried(frame, key, order, {"number": (F.when(own != "", own.cast("bigint")), True)})
+    return numbered.withColumn("number", F.coalesce("number", F.lit(0)).cast("bigint"))

@@ -30,41 +30,51 @@ def catalog_filter(spark: SparkSession, d: str) -> DataFrame:
     return x.filter(F.coalesce(F.startswith(F.lower("kind"), F.lit("p")) & (F.col("n_chars") > 1000), F.lit(False))).select("doc_id", "kind", "n_chars")
 
 
-@query("SELECT p_partkey AS ord, p_retailprice AS duration FROM part WHERE p_retailprice IS NOT NULL AND p_retailprice >= 1000 AND 'audio/mpeg' LIKE 'audio/%' AND p_size * 100000 > 1000000")
+@query("SELECT p_partkey AS ord, p_retailprice AS duration FROM part WHERE p_retailprice >= 901 AND p_type IN ('SMALL', 'LARGE', 'ECONOMY') AND p_size * 100000 > 1000000")
 def audio_predicate(spark: SparkSession, d: str) -> DataFrame:
+    """some types of parts stand for audio, the price for a duration."""
     x = read_table(spark, d, "part")
-    return x.filter(C.is_audio(F.lit("audio/mpeg"), F.col("p_size") * 100000) & C.long_enough(F.col("p_retailprice"), 1000)).select(F.col("p_partkey").alias("ord"), F.col("p_retailprice").alias("duration"))
+    mime = F.when(F.col("p_type").isin("SMALL", "LARGE", "ECONOMY"), "audio/mpeg").otherwise("video/mp4")
+    return x.filter(C.is_audio(mime, F.col("p_size") * 100000) & C.long_enough(F.col("p_retailprice"), 901)).select(F.col("p_partkey").alias("ord"), F.col("p_retailprice").alias("duration"))
 
 
-TAGS = [
-    (1, {"TIT2": [], "title": ["Song A"], "TPE1": ["X"], "TRCK": ["3/12"], "date": ["2019-6-2"]}),
-    (2, {"title": ["B", "C"], "artists": ["Y"], "tracknumber": ["7"], "TDRC": ["12/06/2019"]}),
-    (3, {"TPE2": ["Z"], "year": ["2001"], "TYER": ["circa 1990"]}),
-    (4, {}),
-]
-
-
-@query("""SELECT * FROM (VALUES (1, 'Song A', 'X', 'X', '3', '2019-06-02', ''), (2, 'B', '', 'Y', '7', '2019-06-12', '2019-06-12'),
-          (3, '', '', 'Z', '', 'circa 1990', 'circa 1990'), (4, '', '', '', '', '', '')) AS t(id, title, artist, artists, track, "date", "year")""")
+@query("""SELECT doc_id, coalesce(meta['title'], '') AS title, coalesce(nullif(meta['type'], ''), nullif(meta['tags'], ''), '') AS artists, coalesce(regexp_extract(meta['tags'], '^[^/]*'), '') AS track
+    FROM (SELECT DISTINCT doc_id, meta FROM documents_md)""")
 def tag_alias_coalesce(spark: SparkSession, d: str) -> DataFrame:
-    """First value of the first tag that has one."""
-    x = spark.createDataFrame(TAGS, "id int, tags map<string,array<string>>")
-    return x.select("id", *[C.field(F.col("tags"), n).alias(n) for n in ("title", "artist", "artists", "track", "date", "year")])
-
+    """First value of the first tag that has one; the documents' metadata stand for tags."""
+    renamed = {"title": "title", "type": "TPE1", "tags": "artists"}
+    x = read_table(spark, d, "documents_md").dropDuplicates(["doc_id"])
+    named = F.map_from_arrays(F.array(*[F.lit(v) for v in [*renamed.values(), "TRCK"]]), F.array(*[F.array_compact(F.array(F.try_element_at("meta", F.lit(k)))) for k in [*renamed, "tags"]]))
+    return x.select("doc_id", *[C.field(named, n).alias(n) for n in ("title", "artists", "track")])
 
-DATES = ["2019-06-12", "2019/06/12", "12-06-2019", "12/06/2019", "2019-6-2", "2019/06", "2019", "1206", "circa 1990", " 2020-01 ", "2019-02-30", "0000", None]
 
-
-@query("""SELECT * FROM (VALUES (0,'2019-06-12'),(1,'2019-06-12'),(2,'2019-06-12'),(3,'2019-06-12'),(4,'2019-06-02'),(5,'2019-06'),(6,'2019'),(7,'1206'),
-          (8,'circa 1990'),(9,'2020-01'),(10,'2019-02-30'),(11,'0000'),(12,'')) AS t(i, normal)""")
+@query("""SELECT o_orderkey, CASE o_orderpriority WHEN '4-NOT SPECIFIED' THEN strftime(o_orderdate, '%Y-%m') WHEN '5-LOW' THEN 'circa ' || year(o_orderdate) ELSE strftime(o_orderdate, '%Y-%m-%d') END AS normal FROM orders""")
 def date_normalise(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(DATES)), "i int, raw string").select("i", X.normalise_date(F.col("raw")).alias("normal"))
+    """D1 over order dates, written in a form for each priority."""
+    x = read_table(spark, d, "orders")
+    when = F.col("o_orderdate")
+    forms = {"1-URGENT": "d/M/yyyy", "2-HIGH": "yyyy-M-d", "3-MEDIUM": "dd-MM-yyyy", "4-NOT SPECIFIED": "yyyy/MM"}
+    raw = F.concat(F.lit("circa "), F.year(when))
+    for priority, form in forms.items():
+        raw = F.when(F.col("o_orderpriority") == priority, F.date_format(when, form)).otherwise(raw)
+    return x.select("o_orderkey", X.normalise_date(raw).alias("normal"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, count(*) AS n, CASE WHEN l_quantity BETWEEN 1 AND day(last_day(l_shipdate)) THEN strftime(l_shipdate, '%Y-%m-') || lpad(CAST(CAST(l_quantity AS INTEGER) AS VARCHAR), 2, '0') ELSE strftime(l_shipdate, '%Y-%m') END AS normal
+    FROM lineitem GROUP BY l_orderkey, l_linenumber, normal""")
+def date_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Year and month of shipment with the quantity for a day; impossible days are left out."""
+    x = read_table(spark, d, "lineitem")
+    normal = X.date_from_parts(F.year("l_shipdate"), F.month("l_shipdate"), F.col("l_quantity").cast("int"))
+    return x.select("l_orderkey", "l_linenumber", normal.alias("normal")).groupBy("l_orderkey", "l_linenumber", "normal").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT * FROM (VALUES (0,'2019-02'),(1,'1900-06'),(2,'2020-02-29'),(3,'2020')) AS t(i, normal)")
-def date_parts(spark: SparkSession, d: str) -> DataFrame:
-    x = spark.createDataFrame([(0, 2019, 2, 30), (1, 0, 6, None), (2, 2020, 2, 29), (3, 2020, None, 4)], "i int, y int, m int, d int")
-    return x.select("i", X.date_from_parts(F.col("y"), F.col("m"), F.col("d")).alias("normal"))
+@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN '.ogg' WHEN p_type = 'SMALL' THEN '.flac' WHEN p_type = 'LARGE' THEN '.opus' ELSE '.mp3' END AS ext FROM part")
+def extension_choice(spark: SparkSession, d: str) -> DataFrame:
+    """By the name, by the type, by default."""
+    x = read_table(spark, d, "part")
+    mime = F.when(F.col("p_type") == "SMALL", "AUDIO/FLAC").when(F.col("p_type") == "LARGE", "audio/opus")
+    return x.select("p_partkey", C.audio_extension(mime, F.concat("p_name", F.when(F.col("p_size") > 25, ".ogg").otherwise(""))).alias("ext"))
 
 
 @query("""SELECT p_partkey, CASE WHEN regexp_replace(p_brand || ' - ' || p_name, '[^\\pL\\pN ._-]', '', 'g') = '' THEN p_name
@@ -106,13 +116,6 @@ def copy_plan(spark: SparkSession, d: str) -> DataFrame:
     return C.copy_plan(x.select(F.concat(F.lit("music/"), "p_name").alias("s"), F.concat(F.lit("copy/"), "p_name").alias("t")), there, "s", "t")
 
 
-@query("SELECT * FROM (VALUES (0, '.ogg'), (1, '.mp3'), (2, '.flac'), (3, '.opus'), (4, '.mp3')) AS t(i, ext)")
-def extension_choice(spark: SparkSession, d: str) -> DataFrame:
-    """P6."""
-    x = spark.createDataFrame([(0, "audio/mpeg", "a.ogg"), (1, "audio/mpeg", "a"), (2, "AUDIO/FLAC", "b"), (3, "audio/opus", "c"), (4, None, "d")], "i int, mime string, name string")
-    return x.select("i", C.audio_extension(F.col("mime"), F.col("name")).alias("ext"))
-
-
 @query("""SELECT doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda l: l <> '' AND NOT starts_with(l, '#')), lambda l: regexp_extract(l, '([^/]*)$', 1)) AS names
           FROM documents WHERE kind = 'playlist' AND text IS NOT NULL""")
 def playlist_entries(spark: SparkSession, d: str) -> DataFrame:
@@ -122,17 +125,6 @@ def playlist_entries(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", F.transform(kept, X.file_name).alias("names"))
 
 
-FORECAST = '{"list":[{"dt_txt":"d1 09:00","weather":[{"description":"mist"}],"main":{"temp_min":1.5,"temp_max":2.5,"humidity":80},"wind":{"speed":3.5},"rain":{"3h":0.25}},{"dt_txt":"d1 12:00","weather":[],"main":{"temp_min":1.0,"temp_max":2.0,"humidity":81},"wind":{"speed":3.0}},{"dt_txt":"d2 00:00","main":{"temp_min":0.5,"temp_max":1.0,"humidity":82},"wind":{"speed":2.0},"snow":{"3h":1.5}},{"dt_txt":"d1 03:00","main":{},"wind":{}}]}'
-
-
-@query("""SELECT * FROM (VALUES (0,'d1','09:00','mist',CAST(1.5 AS DOUBLE),'0.25',' ',0),(1,'d1','12:00',NULL,1.0,' ',' ',0),(2,'d2','00:00',NULL,0.5,' ','1.5',1),(3,'d1','03:00',NULL,NULL,' ',' ',2))
-          AS t(pos, "date", "hour", condition, min_temp, rain, snow, day_idx)""")
-def optional_field_default(spark: SparkSession, d: str) -> DataFrame:
-    """Missing members, and a day that comes back is a new group."""
-    x = W.flatten_slots(spark.createDataFrame([("k", FORECAST)], "place string, body string"), "place", "body")
-    return W.day_runs(x, "place", "pos").select("pos", "date", "hour", "condition", "min_temp", "rain", "snow", F.col("day_idx").cast("int").alias("day_idx"))
-
-
 def _event_days(spark: SparkSession, d: str) -> DataFrame:
     x = read_table(spark, d, "events")
     k = F.get_json_object("props", "$.k").cast("double")
@@ -153,12 +145,27 @@ def forecast_by_day(spark: SparkSession, d: str) -> DataFrame:
     return _event_days(spark, d).select("place", "pos", "date", "hour", "humidity", "rain", "day_idx")
 
 
-@query("""WITH e AS (SELECT user_id AS place, event_id AS pos, strftime(ts, '%Y-%m-%d') AS d, CASE WHEN strftime(ts, '%Y-%m-%d') <> lag(strftime(ts, '%Y-%m-%d')) OVER (PARTITION BY user_id ORDER BY event_id) THEN 1 ELSE 0 END AS c, strftime(ts, '%H:%M:%S') AS h FROM events),
+@query("""SELECT event_id, 0 AS pos, strftime(ts, '%Y-%m-%d') AS "date", strftime(ts, '%H:%M') AS "hour", event_type AS condition, value AS min_temp, CASE WHEN event_type = 'click' THEN '0.5' ELSE ' ' END AS rain, ' ' AS snow FROM events""")
+def optional_field_default(spark: SparkSession, d: str) -> DataFrame:
+    """Forecast JSON with a slot for each event; missing members are a blank."""
+    x = read_table(spark, d, "events")
+    slot = F.struct(
+        F.date_format("ts", "yyyy-MM-dd HH:mm").alias("dt_txt"), F.array(F.struct(F.col("event_type").alias("description"))).alias("weather"),
+        F.struct(F.col("value").alias("temp_min")).alias("main"), F.when(F.col("event_type") == "click", F.struct(F.lit(0.5).alias("3h"))).alias("rain"),
+    )
+    body = x.select("event_id", F.to_json(F.struct(F.array(slot).alias("list"))).alias("body"))
+    return W.flatten_slots(body, "event_id", "body").select("event_id", "pos", "date", "hour", "condition", "min_temp", "rain", "snow")
+
+
+@query("""WITH e AS (SELECT user_id AS place, event_id AS pos, strftime(ts, '%Y-%m-%d') AS d, CASE WHEN strftime(ts, '%Y-%m-%d') <> lag(strftime(ts, '%Y-%m-%d')) OVER (PARTITION BY user_id ORDER BY event_id) THEN 1 ELSE 0 END AS c,
+        strftime(ts, '%H:%M:%S') AS h, event_type, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events),
     g AS (SELECT *, CAST(sum(c) OVER (PARTITION BY place ORDER BY pos) AS BIGINT) AS day_idx FROM e)
-    SELECT place, CAST(-1 AS BIGINT) AS day_idx, 0 AS kind, CAST(0 AS BIGINT) AS seq, 'Hour' AS c0 FROM (SELECT DISTINCT place FROM g)
-    UNION ALL SELECT place, day_idx, 1, 0, '' FROM (SELECT DISTINCT place, day_idx FROM g)
-    UNION ALL SELECT place, day_idx, 2, 0, '(' || arg_min(d, pos) || ')' FROM g GROUP BY place, day_idx
-    UNION ALL SELECT place, day_idx, 3, pos, h FROM g""")
+    SELECT place, CAST(-1 AS BIGINT) AS day_idx, 0 AS kind, CAST(0 AS BIGINT) AS seq, 'Hour' AS c0, 'Condition' AS c1, CAST(NULL AS DOUBLE) AS c2, CAST(NULL AS DOUBLE) AS c3, CAST(NULL AS DOUBLE) AS c4, CAST(NULL AS DOUBLE) AS c5, 'Rain(mm)' AS c6, 'Snow(mm)' AS c7 FROM (SELECT DISTINCT place FROM g)
+    UNION ALL SELECT place, day_idx, 1, 0, '', '', NULL, NULL, NULL, NULL, '', '' FROM (SELECT DISTINCT place, day_idx FROM g)
+    UNION ALL SELECT place, day_idx, 2, 0, '(' || arg_min(d, pos) || ')', '', NULL, NULL, NULL, NULL, '', '' FROM g GROUP BY place, day_idx
+    UNION ALL SELECT place, day_idx, 3, pos, h, event_type, round(value, 6), round(value * 2, 6), k, 1.0, CASE WHEN event_type = 'click' THEN '1' ELSE ' ' END, ' ' FROM g""")
 def forecast_sections(spark: SparkSession, d: str) -> DataFrame:
-    """K3: header, empty row, banner and slots of each day."""
-    return W.sections(_event_days(spark, d), "place", "pos").select("place", "day_idx", "kind", "seq", "c0")
+    """K3: header, empty row, banner and slots of each day; the cells of numbers as numbers, those of the header and banner null."""
+    x = W.sections(_event_days(spark, d), "place", "pos")
+    number = lambda c: F.round(F.expr(f"try_cast({c} AS double)"), 6).alias(c)
+    return x.select("place", "day_idx", "kind", "seq", "c0", "c1", *[number(c) for c in ("c2", "c3", "c4", "c5")], "c6", "c7")

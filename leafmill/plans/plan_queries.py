@@ -46,12 +46,6 @@ def running_chunk_index(spark: SparkSession, d: str) -> DataFrame:
     return P.page_chunks(_files(spark, d), "file", "pages", F.col("file"))
 
 
-@query("SELECT * FROM (VALUES ('f1',1,1,10),('f1',2,11,20),('f1',3,21,23),('f2',4,1,5)) AS t(file, chunk_idx, start_page, end_page)")
-def page_chunks(spark: SparkSession, d: str) -> DataFrame:
-    x = P.page_chunks(spark.createDataFrame([("f2", 5), ("f1", 23)], "file string, pages int"), "file", "pages", F.col("file"))
-    return x.select("file", *[F.col(c).cast("int").alias(c) for c in ("chunk_idx", "start_page", "end_page")])
-
-
 PLAN_SQL = "SELECT plan_id, any_value(doc_id) AS doc_id, any_value(chunk_number) AS chunk_number, any_value(output_range) AS output_range, any_value(title) AS title FROM chunk_plan GROUP BY plan_id"
 LINES_SQL = "SELECT doc_id, line_no, coalesce(any_value(line), '') AS line FROM html_lines GROUP BY doc_id, line_no"
 
@@ -111,13 +105,6 @@ def merged_files(spark: SparkSession, d: str) -> DataFrame:
     return P.merge_files(ordered_merge(spark, d), "file")
 
 
-@query("""SELECT DISTINCT doc_id, chunk_number FROM chunk_plan p WHERE NOT EXISTS (SELECT 1 FROM transcriptions t WHERE t.doc_id = p.doc_id AND t.chunk_number = p.chunk_number AND t.markdown_text IS NOT NULL)""")
-def skip_existing(spark: SparkSession, d: str) -> DataFrame:
-    """Planned chunks without a reply."""
-    done = read_table(spark, d, "transcriptions").filter("markdown_text IS NOT NULL")
-    return P.remaining(read_table(spark, d, "chunk_plan").select("doc_id", "chunk_number").distinct(), done, ["doc_id", "chunk_number"])
-
-
 @query("SELECT chunk_id, 'chunk_' || lpad(CAST(chunk_idx AS VARCHAR), 4, '0') || '_' || regexp_replace(regexp_extract(file, '([^/]*)$', 1), '\\.[^.]*$', '') || '.md' AS name FROM (SELECT DISTINCT chunk_id, chunk_idx, file FROM chunk_texts)")
 def chunk_names(spark: SparkSession, d: str) -> DataFrame:
     """P9."""
@@ -125,13 +112,6 @@ def chunk_names(spark: SparkSession, d: str) -> DataFrame:
     return x.select("chunk_id", X.chunk_name(F.col("chunk_idx"), X.stem(X.file_name(F.col("file")))).alias("name"))
 
 
-@query("SELECT * FROM (VALUES ('a',1,'chunk_0001_a.md'),('a',11,'chunk_0011_0020.md'),('b',11,'chunk_0011_0020.md'),('b',3,'chunk_3_4_b.md')) AS t(stem, idx, name)")
-def chunk_discovery(spark: SparkSession, d: str) -> DataFrame:
-    """M4: a page range without a stem belongs to every file."""
-    names = spark.createDataFrame([("chunk_0001_a.md",), ("chunk_0011_0020.md",), ("chunk_3_4_b.md",), ("other.md",)], "name string")
-    return P.discover_chunks(names, "name", spark.createDataFrame([("a",), ("b",)], "stem string"), "stem").withColumn("idx", F.col("idx").cast("int"))
-
-
 @query("SELECT * FROM (SELECT file, batch_no, CAST(row_number() OVER (PARTITION BY file ORDER BY batch_no) AS INTEGER) AS ordinal FROM (SELECT DISTINCT file, batch_no FROM files_pages)) WHERE ordinal BETWEEN 1 AND 2")
 def ordinal_slice(spark: SparkSession, d: str) -> DataFrame:
     """F8."""
@@ -162,20 +142,14 @@ def recent_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT plan_id, doc_id, chunk_number FROM (SELECT DISTINCT plan_id, doc_id, chunk_number FROM chunk_plan) p WHERE NOT EXISTS (
     SELECT 1 FROM transcriptions t WHERE t.doc_id = p.doc_id AND t.chunk_number = p.chunk_number AND t.attempt = 1 AND t.model = (SELECT min(model) FROM transcriptions))""")
-def plans_without_reply(spark: SparkSession, d: str) -> DataFrame:
-    """F6 where many are left: planned chunks without a first reply of one model."""
+def skip_existing(spark: SparkSession, d: str) -> DataFrame:
+    """Planned chunks without a first reply of one model."""
     replies = read_table(spark, d, "transcriptions")
     least = replies.agg(F.min("model").alias("model"))
     done = replies.filter("attempt = 1").join(F.broadcast(least), "model")
     return P.remaining(_plan(spark, d).select("plan_id", "doc_id", "chunk_number"), done, ["doc_id", "chunk_number"])
 
 
-@query("SELECT * FROM (VALUES (0,'PRIMARY TEXT' || chr(10) || 'a'),(1,'PRIMARY TEXT' || chr(10) || 'a' || chr(10) || chr(10) || 'ADDITIONAL CONTEXT' || chr(10) || 'b')) AS t(i, prompt)")
-def prompts(spark: SparkSession, d: str) -> DataFrame:
-    """H6."""
-    return spark.createDataFrame([(0, "a", None), (1, "a", "b")], "i int, p string, c string").select("i", P.prompt(F.col("p"), F.col("c")).alias("prompt"))
-
-
 ITEMS_SQL = """WITH k AS (SELECT file, idx, any_value(label) AS label, regexp_replace(any_value(text), '^[\\s\\x{A0}]+|[\\s\\x{A0}]+$', '', 'g') AS body FROM extracted_items GROUP BY file, idx),
     v AS (SELECT * FROM k WHERE body <> ''),
     f AS (SELECT *, coalesce(label IN ('footnote', 'page_footer'), false) AS note, regexp_matches(body, '^\\d+$') AS number FROM v),
@@ -195,9 +169,25 @@ def extracted_footnotes(spark: SparkSession, d: str) -> DataFrame:
     return N.extract_footnotes(read_table(spark, d, "extracted_items").dropDuplicates(["file", "idx"]))
 
 
-@query("SELECT * FROM (VALUES ('f', 4, 'P2', 'tab'), ('g', 1, 'Unknown Page', 't')) AS t(file, idx, page_ctx, footnote)")
+@query("""WITH c AS (SELECT DISTINCT chunk_idx, regexp_replace(regexp_extract(file, '([^/]*)$', 1), '\\.[^.]*$', '') AS stem FROM chunk_texts)
+    SELECT stem, CAST(chunk_idx AS BIGINT) AS idx, 'chunk_' || lpad(CAST(chunk_idx AS VARCHAR), 4, '0') || '_' || stem || '.md' AS name FROM c""")
+def chunk_discovery(spark: SparkSession, d: str) -> DataFrame:
+    """M4: the names of all chunk files, told apart by the stems of their files."""
+    x = read_table(spark, d, "chunk_texts").select("chunk_idx", X.stem(X.file_name(F.col("file"))).alias("stem")).distinct()
+    return P.discover_chunks(x.select(X.chunk_name(F.col("chunk_idx"), F.col("stem")).alias("name")), "name", x, "stem")
+
+
+@query("""SELECT plan_id, 'PRIMARY TEXT' || chr(10) || coalesce(title, '') || CASE WHEN len(contexts) > 0 THEN chr(10) || chr(10) || 'ADDITIONAL CONTEXT' || chr(10) || doc_id ELSE '' END AS prompt
+    FROM (SELECT plan_id, any_value(title) AS title, any_value(contexts) AS contexts, any_value(doc_id) AS doc_id FROM chunk_plan GROUP BY plan_id)""")
+def prompts(spark: SparkSession, d: str) -> DataFrame:
+    """H6: a prompt for each plan, its document's name for a context where it has contexts."""
+    return _plan(spark, d).select("plan_id", P.prompt(F.coalesce("title", F.lit("")), F.when(F.size("contexts") > 0, F.col("doc_id"))).alias("prompt"))
+
+
+@query(ITEMS_SQL + """, l AS (SELECT DISTINCT file, idx FROM extracted_items WHERE footnote_text IS NOT NULL),
+    h AS (SELECT k.*, last_value(CASE WHEN label = 'page_header' THEN raw END IGNORE NULLS) OVER (PARTITION BY file ORDER BY idx) AS page FROM (SELECT file, idx, any_value(label) AS label, any_value(text) AS raw FROM extracted_items GROUP BY file, idx) k)
+    SELECT h.file, h.idx, coalesce(h.page, 'Unknown Page') AS page_ctx, h.raw AS footnote FROM h JOIN l ON h.file = l.file AND h.idx = l.idx WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.file = h.file AND n.footnote = h.raw)""")
 def table_footnotes(spark: SparkSession, d: str) -> DataFrame:
-    """The page is the nearest header before; texts extracted already are passed over."""
-    items = spark.createDataFrame([("f", 1, "page_header", "P1"), ("f", 2, "footnote", "1. a"), ("f", 3, "page_header", "P2"), ("f", 4, "text", "tab"), ("g", 1, "text", "t")], "file string, idx int, label string, text string")
-    links = spark.createDataFrame([("f", 2), ("f", 4), ("g", 1)], "file string, idx int")
-    return N.table_footnotes(links, items, N.extract_footnotes(items))
+    """Items with a footnote text stand for those that tables point to; texts extracted already are passed over."""
+    items = read_table(spark, d, "extracted_items").dropDuplicates(["file", "idx"])
+    return N.table_footnotes(items.filter("footnote_text IS NOT NULL").select("file", "idx"), items, N.extract_footnotes(items))
