@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as X
 from leafmill.operators import catalog as C
 from leafmill.operators import forecast as W
+from leafmill.sources.files import list_entries
 from leafmill.sources.tables import read_table
 
 QUERIES, ORACLES = {}, {}
@@ -116,13 +117,12 @@ def copy_plan(spark: SparkSession, d: str) -> DataFrame:
     return C.copy_plan(x.select(F.concat(F.lit("music/"), "p_name").alias("s"), F.concat(F.lit("copy/"), "p_name").alias("t")), there, "s", "t")
 
 
-@query("""SELECT doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda l: l <> '' AND NOT starts_with(l, '#')), lambda l: regexp_extract(l, '([^/]*)$', 1)) AS names
+@query("""SELECT doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda l: trim(l, ' ' || chr(13)) <> '' AND NOT starts_with(trim(l, ' ' || chr(13)), '#')), lambda l: regexp_extract(trim(l, ' ' || chr(13)), '([^/]*)$', 1)) AS names
           FROM documents WHERE kind = 'playlist' AND text IS NOT NULL""")
 def playlist_entries(spark: SparkSession, d: str) -> DataFrame:
-    """Entries of playlist documents without comments and blanks."""
+    """Entries of playlist documents without comments and blanks."""
     x = read_table(spark, d, "documents").filter("kind = 'playlist' AND text IS NOT NULL")
-    kept = F.filter(F.split("text", "\n"), lambda v: (v != "") & ~F.startswith(v, F.lit("#")))
-    return x.select("doc_id", F.transform(kept, X.file_name).alias("names"))
+    return x.select("doc_id", F.transform(list_entries(F.col("text")), X.file_name).alias("names"))
 
 
 def _event_days(spark: SparkSession, d: str) -> DataFrame:

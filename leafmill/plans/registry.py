@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.plans import catalog_queries, document_queries, plan_queries, relation_queries
+from leafmill.plans import catalog_queries, document_queries, file_queries, plan_queries, relation_queries
 
-MODULES = (catalog_queries, document_queries, plan_queries, relation_queries)
+MODULES = (catalog_queries, document_queries, file_queries, plan_queries, relation_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}

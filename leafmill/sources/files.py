@@ -65,6 +65,11 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("path", block.alias("front_matter"), meta.alias("meta"), F.regexp_replace("value", r"(?s)\A---\r?\n.*?\r?\n---[ \t]*(?:\r?\n|\z)", "").alias("text"))
 
 
+def list_entries(text: Column) -> Column:
+    """The entries of a list's text, stripped, without blanks and ``#`` comments."""
+    return F.filter(F.transform(F.split(text, "\\r?\\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.startswith(x, F.lit("#")))
+
+
 def read_list(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a list file, without blanks and ``#`` comments."""
     value = F.trim("value")
@@ -74,8 +79,10 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
 PLAN_SCHEMA = "chunks array<struct<chunk_number:int,title:string,output_range:array<int>,contexts:array<array<int>>>>, complete boolean"
 
 
-def read_plan(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PLAN_SCHEMA).json(path, multiLine=True).select(F.explode("chunks").alias("c")).select("c.*")
+def read_plan(spark: SparkSession, path: str, keep: list[str] | None = None) -> DataFrame:
+    """The chunks of JSON artifacts; ``keep`` names columns that the folders below the path stand for."""
+    schema = ", ".join([PLAN_SCHEMA, *(f"`{c}` string" for c in keep or [])])
+    return spark.read.schema(schema).json(path, multiLine=True).select(*(keep or []), F.explode("chunks").alias("c")).select(*(keep or []), "c.*")
 
 
 def sniff_mime(head: Column) -> Column:

@@ -30,14 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut_lineage(frame: DataFrame) -> DataFrame:
-    """The rows of a frame, computed once and read back from a table in the shared folder."""
-    spark = frame.sparkSession
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    frame.write.option("compression", "zstd").parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     _written.append(path)
+    return path
+
+
+def cut_lineage(frame: DataFrame) -> DataFrame:
+    """The rows of a frame, computed once and read back from a table in the shared folder."""
+    spark = frame.sparkSession
+    path = scratch_path(spark)
+    frame.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,10 +41,15 @@ def write_outlines(outlines: DataFrame, key: str, path: str) -> None:
     lines.repartition(key).sortWithinPartitions(key, "seq").select(key, "value").write.mode("overwrite").partitionBy(key).text(path)
 
 
+def front_matter(meta: Column) -> Column:
+    """The metadata as a block before a text; nothing where there are none."""
+    pairs = F.transform(F.array_sort(F.map_entries(meta)), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit(""))))
+    return F.when(F.coalesce(F.size(meta), F.lit(0)) > 0, F.concat(F.lit("---\n"), F.array_join(pairs, "\n"), F.lit("\n---\n"))).otherwise("")
+
+
 def write_documents(documents: DataFrame, path: str) -> None:
     """Documents with their metadata as front matter, to a new place; what is being read is never overwritten."""
-    head = F.when(F.coalesce(F.size("meta"), F.lit(0)) > 0, F.concat(F.lit("---\n"), F.array_join(F.transform(F.array_sort(F.map_entries("meta")), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("")))), "\n"), F.lit("\n---\n"))).otherwise("")
-    documents.select("doc_id", F.concat(head, F.coalesce("text", F.lit(""))).alias("text")).write.mode("errorifexists").parquet(path)
+    documents.select("doc_id", F.concat(front_matter(F.col("meta")), F.coalesce("text", F.lit(""))).alias("text")).write.mode("errorifexists").parquet(path)
 
 
 def show_aligned(frame: DataFrame, rows: int = 40) -> None:

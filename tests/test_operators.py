@@ -244,3 +244,28 @@ def test_stream_resumes(spark, tmp_path):
 def test_scalars(spark):
     x = spark.createDataFrame([("https://h/a-b/c d.tar.gz/",)], "u string")
     assert x.select(X.url_slug(F.col("u")), X.percent_decode(F.lit("a+b%20%zz")), X.collapse_blanks(F.lit(" a  b ")), X.looks_truncated(F.lit("{} \n"))).first() == ("c_d", "a+b%20%zz", "a b", False)
+
+
+def test_text_queries_against_plain_python(spark):
+    """The rules that SQL can't express, over a whole table, by Python's own patterns."""
+    import re
+
+    from leafmill.plans import document_queries as Q
+
+    data = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r for r in Q._documents(spark, data).filter("text IS NOT NULL").collect()}
+
+    def rewritten(text, kind):
+        for rule in rules.FOOTNOTES + (rules.ARCHIVE_FOOTNOTES if kind == "gut" else ()):
+            flags, pattern = re.match(r"\(\?([a-z]+)\)(.*)", rule.pattern, re.S).groups()
+            text = re.sub(pattern, re.sub(r"\$(\d)", r"\\\1", rule.replacement), text, flags=(re.I if "i" in flags else 0) | (re.M if "m" in flags else 0))
+        return text
+
+    assert {r["doc_id"]: r["text"] for r in Q.footnote_rules(spark, data).collect()} == {k: rewritten(r["text"], r["kind"]) for k, r in docs.items()}
+    framed = {r["doc_id"]: r["text"] for r in Q.archive_frame(spark, data).collect()}
+    assert set(framed) == set(docs) and not any("*** START" in t or "*** END" in t or "## Contents" in t for t in framed.values())
+    promoted = {r["doc_id"]: r["text"].split("\n") for r in Q.headings_promoted(spark, data).collect()}
+    plain = {r["doc_id"]: r["text"].split("\n") for r in Q.heading_promotion(spark, data).collect()}
+    for k, got in promoted.items():
+        changed = [i for i, (a, b) in enumerate(zip(plain[k], got)) if a != b]
+        assert len(got) == len(plain[k]) and all(got[i] == "## " + plain[k][i] and not plain[k][i - 1].strip() and not plain[k][i + 1].strip() and 0 < i < len(got) - 10 for i in changed)
