@@ -13,7 +13,7 @@ def is_extra(title: Column) -> Column:
     return title.contains(EXTRA_MARKS[0]) | title.contains(EXTRA_MARKS[1])
 
 
-def letter_index(frame: DataFrame, title: str, salts: int = 16) -> DataFrame:
+def letter_index(frame: DataFrame, title: str) -> DataFrame:
     """(letter, group_no, title): groups by upper-cased first character, in the order of their least title.
 
     The groups' order is taken from a partial aggregation; a letter that most titles share is no

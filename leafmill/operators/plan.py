@@ -72,8 +72,16 @@ def slice_lines(plan: DataFrame, lines: DataFrame, plan_key: str, key: str, star
     )
 
 
+def merge_segments(frame: DataFrame, key: str, order: list[str], text: str, delimiter: str = "\n\n") -> DataFrame:
+    """(key, order…, segment): the pieces of each merged text, for ``sinks.write_segments``; no text is gathered in a row."""
+    return frame.select(key, *order, F.concat(F.coalesce(text, F.lit("")), F.lit(delimiter)).alias("segment"))
+
+
 def merge_ordered(frame: DataFrame, key: str, order: list[str], text: str, delimiter: str = "\n\n") -> DataFrame:
-    """(key, text): the texts in order, the delimiter after every one of them. Null texts count as empty."""
+    """(key, text): the texts in order, the delimiter after every one of them. Null texts count as empty.
+
+    A merged text is one row; where merged texts may be larger than a task, write ``merge_segments``.
+    """
     own = F.array_sort(F.collect_list(F.struct(*order, F.coalesce(text, F.lit("")).alias("__text"))))
     return frame.groupBy(key).agg(own.alias("own")).select(key, F.array_join(F.transform("own", lambda x: F.concat(x["__text"], F.lit(delimiter))), "").alias("text"))
 

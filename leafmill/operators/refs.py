@@ -47,7 +47,7 @@ def orphans(images: DataFrame, tails: DataFrame, path: str, group: list[str]) ->
     Every suffix of an image's path is listed, so the test is an equi-join; a path has few parts.
     """
     parts = X.path_parts(F.col(path))
-    suffixes = images.select(*group, path, F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda k: F.array_join(F.slice(parts, k, 10_000), "/"))).alias("tail"))
+    suffixes = images.select(*group, path, F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))).alias("tail"))
     used = suffixes.join(tails, [*group, "tail"], "left_semi").select(*group, path).distinct()
     return images.join(used, [*group, path], "left_anti")
 

@@ -22,6 +22,16 @@ def write_chunks(chunks: DataFrame, path: str, key: str = "chunk_idx") -> None:
     chunks.select(key, F.col("text").alias("value")).repartition(key).write.mode("overwrite").partitionBy(key).text(path)
 
 
+def write_segments(segments: DataFrame, key: str, order: list[str], path: str) -> None:
+    """Merged texts as ordered part files in a folder for each key: names rise with the order, so the parts one after the other are the text.
+
+    Rows are ranged by key and order; a text that is larger than a partition is spread over several.
+    """
+    ranged = segments.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    lines = ranged.select(key, F.regexp_replace("segment", r"\n\z", "").alias("value"))  # the writer ends every row with a line end
+    lines.write.mode("overwrite").partitionBy(key).text(path)
+
+
 def write_merged(merged: DataFrame, path: str, key: str = "file") -> None:
     merged.select(key, "text").write.mode("overwrite").parquet(path)
 

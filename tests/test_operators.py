@@ -223,6 +223,17 @@ def test_outlines_and_previews_are_written(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "text")).count() == 1
 
 
+def test_merged_segments_are_the_merged_text(spark, tmp_path):
+    rows = [("f", i % 50, i, f"text {i}\nof f\n" if i % 3 else None) for i in range(300)] + [("g", 0, 1, "only")]
+    frame = spark.createDataFrame(rows, "file string, chunk_idx int, chunk_id bigint, content string").repartition(7)
+    order = ["chunk_idx", "chunk_id"]
+    sinks.write_segments(plan.merge_segments(frame, "file", order, "content"), "file", order, str(tmp_path / "out"))
+    expected = {r["file"]: r["text"] for r in plan.merge_ordered(frame, "file", order, "content").collect()}
+    for name in ("f", "g"):
+        parts = sorted((tmp_path / f"out/file={name}").glob("part-*.txt"))
+        assert "".join(p.read_text() for p in parts) == expected[name]
+
+
 def test_relative_paths(spark):
     rows = [("/m/a/b.mp3", "/m", "a/b.mp3"), ("/m/a/b.mp3", "/m/c/d", "../../a/b.mp3"), ("/x", "/m/", "../x"), ("/m", "/m", "."), ("/m", "/m/a", ".."), ("/mm/a", "/m", "../mm/a"), (None, "/m", None)]
     for p, b, r in spark.createDataFrame(rows, "p string, b string, r string").select(X.relative_path(F.col("p"), F.col("b")), "p", "r").collect():
