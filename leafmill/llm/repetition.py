@@ -1,7 +1,7 @@
 """Problem 2: repetition inside a single document.
 
 Statistics of each document are scored by gradient-boosted trees, trained here on a bounded
-sample (about ``SAMPLE`` documents by a hash of their key, each also with made repetitions, all
+sample (about ``SAMPLE`` documents by a hash of their key, a quarter also with made repetitions, all
 labelled by the exact measure) and flattened into node arrays that numpy walks for a whole batch at
 once. Features that can only speak for repetition are constrained to raise the score. The trees
 decide: a document is repetitive from the score ``DECIDES`` on. Only those documents are measured
@@ -32,6 +32,7 @@ from leafmill.llm.common import table
 SAMPLE = 3000
 SHARE = 0.4
 DECIDES = 0.5
+MADE_FOR_ONE_IN = 4
 RUN = 4
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -189,13 +190,13 @@ def made_repetitions(text: str, seed: int) -> list[str]:
 
 
 def fit(frame: DataFrame, key: str, text: str, sample: int = SAMPLE) -> Trees:
-    """Trees from about ``sample`` rows; their statistics alone come to the driver, three rows for each."""
+    """Trees from about ``sample`` rows; their statistics alone come to the driver, at most three rows for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                every = [t, *made_repetitions(t, h)] if t and t.strip() else [t]
+                every = [t, *made_repetitions(t, h)] if t and t.strip() and h % MADE_FOR_ONE_IN == 0 else [t]
                 rows += [[float(h), *statistics(x), repeated_share(words_of(x))] for x in every]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], names=["row"])
 
